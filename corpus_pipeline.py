@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayframe.llm import common, simhash
+from wayframe.llm import common, linededup, mixing, packing, quality, simhash
+
+
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accept(docs, common.table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go, and documents that consisted of them."""
+    return linededup.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +22,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources' documents up to the token budget, in proportion to their weights."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document goes in which sequence."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality", accept),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
 #: Models and hashes of whole texts are beyond SQL; tests/llm compares with brute force.

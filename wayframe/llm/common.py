@@ -43,8 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def word_count(text: Column) -> Column:
     """Tokens of a text: runs of anything but blank, tab and line ends; null has 0."""
-    pieces = F.split(F.coalesce(text.cast("string"), F.lit("")), "[ \t\n\r]+")
-    return F.size(F.filter(pieces, lambda x: x != "")).cast("long")
+    bare = F.trim(F.coalesce(text.cast("string"), F.lit("")), F.lit(" \t\n\r"))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, "[ \t\n\r]+"))).cast("long")
 
 
 WORD_COUNT_SQL = "CAST(len(list_filter(string_split_regex(coalesce({0}, ''), '[ \\t\\n\\r]+'), x -> x <> '')) AS BIGINT)"

@@ -43,6 +43,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def salt(n: int) -> np.uint64:
+    """The n-th of a series of well spread 64-bit numbers."""
+    return _U(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (n + 1) of a string array; a null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
