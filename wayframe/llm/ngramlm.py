@@ -9,6 +9,7 @@ is missing gives the level back; it can only be too high, and rarely is.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,14 @@ from .common import cut, map_arrow
 
 #: A count c has level 1 + floor(log_BASE c).
 BASE = 1.5
-#: Filter bits per entry, probes per entry: one entry in 30 that was never put in seems to be there.
-BITS, PROBES = 8, 4
+#: Filter bits per entry, probes per entry: one in 28 that was never put in seems to be there.
+BITS, PROBES = 7, 4
 #: Weight of the bigram estimate; the rest is the unigram's.
 MIX = 0.7
 #: The filter is made of so many parts of their own; an n-gram's probes all lie in one.
 PARTS = 1024
+#: Keys that a worker sorts at a time while it counts.
+COMBINE_KEYS = 4_000_000
 #: Most bytes of filter that are broadcast at once; a larger filter takes more passes over the documents.
 BROADCAST_BYTES = 96 << 20
 
@@ -46,20 +49,30 @@ def ngrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return uni, K.mix(before * _G + uni + _U(2)), row
 
 
-def _counts(b: pa.RecordBatch) -> pa.RecordBatch | None:
-    buf, offs = K.raw(b.column("text"))
-    keys = []
-    for lo, hi in K.slices(offs, 8 << 20):
-        uni, bi, row = ngrams(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        # the start mark counts once for each document that has tokens
-        keys += [uni, bi, np.zeros(len(np.unique(row)), _U)]
-    if not keys:
-        return None
-    x = np.sort(np.concatenate(keys))
-    if not len(x):
-        return None
+def _distinct(keys: list[np.ndarray]) -> pa.RecordBatch:
+    x = np.concatenate(keys)
+    x.sort()
     at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    return pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)), pa.array(np.diff(np.append(at, len(x))))], ["g", "c"])
+    g, c = x[at], np.diff(np.append(at, len(x)))
+    return pa.RecordBatch.from_arrays([pa.array(part_of(g).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int32))], ["part", "g", "c"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, n-gram, count), counts added up over so many keys as keep a worker small."""
+    keys: list[np.ndarray] = []
+    n = 0
+    for b in batches:
+        buf, offs = K.raw(b.column("text"))
+        for lo, hi in K.slices(offs):
+            uni, bi, row = ngrams(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            # the start mark counts once for each document that has tokens
+            keys += [uni, bi, np.zeros(len(np.unique(row)), _U)]
+            n += 2 * len(uni)
+            if n >= COMBINE_KEYS:
+                yield _distinct(keys)
+                keys, n = [], 0
+    if n:
+        yield _distinct(keys)
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -96,32 +109,32 @@ def build_part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def build(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The filter, one row (part, bits) for each part that has n-grams."""
+    """The filter, one row (part, bits, entries, starts) for each part that has n-grams.
+
+    entries is the sum of the counts, starts that of the start mark.
+    """
     src = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    c = map_arrow(src, _counts, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-    c = c.withColumn("part", F.shiftrightunsigned("g", 48).cast("int") % PARTS)
 
     def one(key: tuple, t: pa.Table) -> pa.Table:
-        bits = build_part(t["g"].to_numpy().view(_U), t["c"].to_numpy())
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+        g, at = np.unique(t["g"].to_numpy().view(_U), return_inverse=True)
+        c = np.bincount(at, t["c"].to_numpy(), len(g)).astype(np.int64)
+        bits = build_part(g, c)
+        row = {"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())}
+        return pa.table(row | {"entries": pa.array([int(c.sum())]), "starts": pa.array([int(c[g == 0].sum())])})
 
-    return c.groupBy("part").applyInArrow(one, "part int, bits binary")
+    c = src.mapInArrow(_counts, "part int, g long, c int").repartition("part")
+    return c.groupBy("part").applyInArrow(one, "part int, bits binary, entries long, starts long")
 
 
 class Filter:
-    """Parts of the filter that one pass has at hand."""
-
-    def __init__(self, parts: dict[int, bytes]):
-        self.size = np.zeros(PARTS, np.int64)
-        self.at = np.zeros(PARTS, np.int64)
-        have, to = [], 0
-        for p, raw in sorted(parts.items()):
-            x = np.frombuffer(raw, np.uint8)
-            self.size[p] = int(x[:8].view(np.int64)[0])
-            self.at[p] = to
-            have.append(x[8:])
-            to += len(x) - 8
-        self.data = np.concatenate(have) if have else np.zeros(0, np.uint8)
+    """Parts of the filter that one pass has at hand: one run of bytes, where each part begins, and its bits."""
+
+    def __init__(self, data: bytes, at: np.ndarray, size: np.ndarray):
+        self.data, self.at, self.size = np.frombuffer(data, np.uint8), at, size
+
+    @classmethod
+    def of(cls, parts: Iterable[tuple[int, bytes]]) -> "Filter":
+        return cls(*joined(parts))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key by repeated probes; 0 if it was never seen or belongs to other parts."""
@@ -143,6 +156,15 @@ class Filter:
         return out
 
 
+def joined(parts: Iterable[tuple[int, bytes]]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    at, size, data = np.zeros(PARTS, np.int64), np.zeros(PARTS, np.int64), bytearray()
+    for p, raw in parts:
+        size[p] = int(np.frombuffer(raw, np.int64, 1)[0])
+        at[p] = len(data)
+        data += memoryview(raw)[8:]
+    return bytes(data), at, size
+
+
 def log_probability(uni: np.ndarray, bi: np.ndarray, before: np.ndarray, total: float) -> np.ndarray:
     """Natural log of MIX * c(w' w) / c(w') + (1 - MIX) * (c(w) + 1) / (total + 1), from levels."""
     c, cb, cw = count_of(uni), count_of(bi), count_of(before)
@@ -183,8 +205,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     filt = cut(build(d), "lm-filter")
-    sizes = {r["part"]: r["n"] for r in filt.select("part", F.octet_length("bits").alias("n")).collect()}
-    total = float(_total(d))
+    seen = filt.select("part", F.octet_length("bits").alias("n"), "entries", "starts").collect()
+    sizes = {r["part"]: r["n"] for r in seen}
+    # each token is one unigram and ends one bigram
+    total = sum(r["entries"] - r["starts"] for r in seen) / 2
     groups: list[list[int]] = [[]]
     room = broadcast_bytes
     for p, n in sorted(sizes.items()):
@@ -195,14 +219,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
         room -= n
 
     def load(parts: list[int]):
-        got = {r["part"]: bytes(r["bits"]) for r in filt.where(F.col("part").isin(parts)).toLocalIterator()}
-        return spark.sparkContext.broadcast(got)
+        rows = filt.where(F.col("part").between(parts[0], parts[-1])).select("part", "bits").toLocalIterator() if parts else ()
+        return spark.sparkContext.broadcast(joined((r["part"], bytes(r["bits"])) for r in rows))
 
     held: dict[int, Filter] = {}
 
     def at_hand(sent) -> Filter:
         if 0 not in held:
-            held[0] = Filter(sent.value)
+            held[0] = Filter(*sent.value)
         return held[0]
 
     def finish(b: pa.RecordBatch, rows: np.ndarray, lp: np.ndarray) -> pa.RecordBatch:
@@ -233,7 +257,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
 
         def add(b: pa.RecordBatch, sent=sent, have=have) -> pa.RecordBatch:
             if 0 not in have:
-                have[0] = Filter(sent.value)
+                have[0] = Filter(*sent.value)
             old, new = b.column("levels"), [None] * b.num_rows
             for lo, hi, row, u, bi, prev in _levels_of(b, have[0]):
                 to = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -255,13 +279,3 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
         return finish(b, np.concatenate(rows), np.concatenate(lps))
 
     return map_arrow(now.select("doc_id", "levels"), end, out_schema)
-
-
-def _total(d: DataFrame) -> int:
-    """Tokens of the corpus."""
-    def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        buf, offs = K.raw(b.column("text"))
-        n = sum(len(K.tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])[0]) for lo, hi in K.slices(offs))
-        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    return map_arrow(d, count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
