@@ -1,0 +1 @@
+"""Multi-row operators: hops, aggregations, loops."""
