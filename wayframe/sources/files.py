@@ -58,14 +58,17 @@ def write_jsonl(graph: PropertyGraph, vertices: str, edges: str) -> None:
 
 
 def write_parquet(graph: PropertyGraph, folder: str) -> None:
-    """Vertices by label; edges by label, and once more by their target, so that hops in either direction prune."""
-    graph.vertices.write.mode("overwrite").partitionBy("label").parquet(f"{folder}/vertices")
-    graph.edges.write.mode("overwrite").partitionBy("label").parquet(f"{folder}/edges")
+    """Vertices and edges by label, so that scans of a label read nothing else; and an empty table that tells the types."""
+    for kind, df in (("vertices", graph.vertices), ("edges", graph.edges)):
+        df.write.mode("overwrite").partitionBy("label").parquet(f"{folder}/{kind}")
+        df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{kind}-types")
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str = "graph") -> PropertyGraph:
-    text = lambda df: df.withColumn("label", F.col("label").cast("string"))
-    return PropertyGraph(text(spark.read.parquet(f"{folder}/vertices")), text(spark.read.parquet(f"{folder}/edges")), name=name)
+    def load(kind: str) -> DataFrame:
+        return spark.read.schema(spark.read.parquet(f"{folder}/{kind}-types").schema).parquet(f"{folder}/{kind}")
+
+    return PropertyGraph(load("vertices"), load("edges"), name=name)
 
 
 def read_jdbc(spark: SparkSession, url: str, vertices: str, edges: str, name: str = "graph", **options: str) -> PropertyGraph:
