@@ -47,7 +47,7 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, "[ \t\n\r]+"))).cast("long")
 
 
-WORD_COUNT_SQL = "CAST(len(list_filter(string_split_regex(coalesce({0}, ''), '[ \\t\\n\\r]+'), x -> x <> '')) AS BIGINT)"
+WORD_COUNT_SQL = "CAST(len(list_filter(string_split_regex(coalesce({0}, ''), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS BIGINT)"
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -98,9 +98,9 @@ def filter_sql(rows: list[tuple[str, str, str, bool]] = LIST) -> str:
     i AS (SELECT list, pattern, listed, since AS valid_from, lead(since) OVER (PARTITION BY list, pattern ORDER BY since) AS valid_to FROM e),
     c AS (SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * ((page_id * 37) % 365) AS fetched,
                  lower(rtrim(regexp_extract(url, '{_HOST}', 1), '.')) AS host, lower(regexp_extract(url, '{_PATH}', 1)) AS path FROM pages),
-    p AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), x -> x <> '') AS parts FROM c),
-    k AS (SELECT DISTINCT url, fetched, unnest(list_concat(list_transform(range(1, len(labels) + 1), n -> array_to_string(labels[n:], '.')),
-                 list_transform(range(1, len(parts) + 1), n -> host || '/' || array_to_string(parts[:n], '/')))) AS key FROM p WHERE host <> ''),
+    p AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM c),
+    k AS (SELECT DISTINCT url, fetched, unnest(list_concat(list_transform(range(1, len(labels) + 1), lambda n: array_to_string(labels[n:], '.')),
+                 list_transform(range(1, len(parts) + 1), lambda n: host || '/' || array_to_string(parts[:n], '/')))) AS key FROM p WHERE host <> ''),
     h AS (SELECT url, fetched, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, string_agg(DISTINCT pattern, ',' ORDER BY pattern) AS patterns
           FROM k JOIN i ON key = pattern AND listed AND fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to) GROUP BY url, fetched)
     SELECT c.page_id, c.url, c.host, c.fetched, h.lists IS NOT NULL AS blocked, h.lists, h.patterns
