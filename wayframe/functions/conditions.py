@@ -59,8 +59,16 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def equals(v: Value, literal: Any) -> Column:
-    """Equality without coercion between kinds; null equals null and what is missing."""
+def _bare(c: Column) -> Column:
+    return c
+
+
+def equals(v: Value, literal: Any, exact: bool = True) -> Column:
+    """Equality without coercion between kinds; null equals null and what is missing.
+
+    exact: never null; else null may stand for false, which lets a filter reach the scan.
+    """
+    sure = _sure if exact else _bare
     if v.col is None:
         return F.lit(literal is None)
     if v.variant:
@@ -68,30 +76,30 @@ def equals(v: Value, literal: Any) -> Column:
         if literal is None:
             return v.col.isNull() | F.is_variant_null(v.col)
         if isinstance(literal, bool):
-            return _sure((tag == "BOOLEAN") & (F.try_variant_get(v.col, "$", "boolean") == literal))
+            return sure((tag == "BOOLEAN") & (F.try_variant_get(v.col, "$", "boolean") == literal))
         if isinstance(literal, (int, float)):
-            return _sure(tag.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|TINYINT|SMALLINT)") & (F.try_variant_get(v.col, "$", "double") == float(literal)))
+            return sure(tag.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|TINYINT|SMALLINT)") & (F.try_variant_get(v.col, "$", "double") == float(literal)))
         if isinstance(literal, str):
-            return _sure((tag == "STRING") & (F.try_variant_get(v.col, "$", "string") == literal))
+            return sure((tag == "STRING") & (F.try_variant_get(v.col, "$", "string") == literal))
         text = json.dumps(literal, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        return _sure(F.to_json(v.col) == text)
+        return sure(F.to_json(v.col) == text)
     kind = v.kind
     if literal is None:
         return v.col.isNull()
     if isinstance(literal, bool):
-        return _sure(v.col == literal) if isinstance(kind, T.BooleanType) else F.lit(False)
+        return sure(v.col == literal) if isinstance(kind, T.BooleanType) else F.lit(False)
     if isinstance(literal, (int, float)):
-        return _sure(v.col == F.lit(literal)) if isinstance(kind, T.NumericType) else F.lit(False)
+        return sure(v.col == F.lit(literal)) if isinstance(kind, T.NumericType) else F.lit(False)
     if isinstance(literal, str):
         if isinstance(kind, T.StringType):
-            return _sure(v.col == literal)
+            return sure(v.col == literal)
         if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            return _sure(v.col == F.lit(literal).cast(kind))
+            return sure(v.col == F.lit(literal).cast(kind))
         return F.lit(False)
     if isinstance(literal, list) and isinstance(kind, T.ArrayType):
-        return _sure(v.col == F.array(*[F.lit(x) for x in literal]).cast(kind))
+        return sure(v.col == F.array(*[F.lit(x) for x in literal]).cast(kind))
     if isinstance(literal, dict) and isinstance(kind, T.StructType):
-        return _sure(F.to_json(v.col) == F.to_json(F.from_json(F.lit(json.dumps(literal)), kind)))
+        return sure(F.to_json(v.col) == F.to_json(F.from_json(F.lit(json.dumps(literal)), kind)))
     return F.lit(False)
 
 
@@ -106,35 +114,39 @@ def number(v: Value) -> Column:
     return v.col.try_cast("double") if isinstance(v.kind, T.StringType) else F.lit(None).cast("double")
 
 
-def _in_order(op: Callable[[Column, Any], Column], v: Value, limit: Any) -> Column:
+def _in_order(op: Callable[[Column, Any], Column], v: Value, limit: Any, exact: bool) -> Column:
+    sure = _sure if exact else _bare
     if isinstance(limit, str) and isinstance(v.kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return _sure(op(v.col, F.lit(limit).cast(v.kind)))
+        return sure(op(v.col, F.lit(limit).cast(v.kind)))
     try:
-        return _sure(op(number(v), float(limit)))
+        limit = float(limit)
     except (TypeError, ValueError):
         return F.lit(False)
+    if isinstance(v.kind, T.NumericType):
+        return sure(op(v.col, F.lit(limit)))
+    return sure(op(number(v), limit))
+
+
+_ORDER: dict[str, Callable[[Any, Any], Any]] = {"GT": lambda x, y: x > y, "GTE": lambda x, y: x >= y, "LT": lambda x, y: x < y, "LTE": lambda x, y: x <= y}
+_BOUNDS = {"INSIDE": ("GT", "LT"), "BETWEEN": ("GTE", "LT"), "OUTSIDE": ("LT", "GT")}
 
 
-def compare(kind: str, v: Value, value: Any) -> Column:
-    ops = {"GT": lambda x, y: x > y, "GTE": lambda x, y: x >= y, "LT": lambda x, y: x < y, "LTE": lambda x, y: x <= y}
+def compare(kind: str, v: Value, value: Any, exact: bool = True) -> Column:
     if kind == "EQ":
-        return equals(v, value)
+        return equals(v, value, exact)
     if kind == "NEQ":
         return ~equals(v, value)
-    if kind in ops:
-        return _in_order(ops[kind], v, value)
-    if kind in ("INSIDE", "OUTSIDE", "BETWEEN"):
+    if kind in _ORDER:
+        return _in_order(_ORDER[kind], v, value, exact)
+    if kind in _BOUNDS:
         if not isinstance(value, list) or len(value) != 2:
             return F.lit(False)
-        low, high = value
-        if kind == "INSIDE":
-            return _in_order(ops["GT"], v, low) & _in_order(ops["LT"], v, high)
-        if kind == "OUTSIDE":
-            return _in_order(ops["LT"], v, low) | _in_order(ops["GT"], v, high)
-        return _in_order(ops["GTE"], v, low) & _in_order(ops["LT"], v, high)
-    if kind in ("WITHIN", "WITHOUT"):
-        found = _any_of(v, value or [])
-        return found if kind == "WITHIN" else ~found
+        low, high = (_in_order(_ORDER[op], v, x, exact) for op, x in zip(_BOUNDS[kind], value))
+        return low | high if kind == "OUTSIDE" else low & high
+    if kind == "WITHIN":
+        return _any_of(v, value or [], exact)
+    if kind == "WITHOUT":
+        return ~_any_of(v, value or [], True)
     if kind == "CONTAINS":
         if v.col is None:
             return F.lit(False)
@@ -147,33 +159,34 @@ def compare(kind: str, v: Value, value: Any) -> Column:
     raise PlanError(f"no condition is named {kind}")
 
 
-def _any_of(v: Value, values: list) -> Column:
+def _any_of(v: Value, values: list, exact: bool) -> Column:
     """isin for one kind of literal that the column has, so that it reaches the scan."""
-    if v.col is not None and not v.variant:
+    sure = _sure if exact else _bare
+    if v.col is not None and not v.variant and values:
         if isinstance(v.kind, T.StringType) and all(isinstance(x, str) for x in values):
-            return _sure(v.col.isin(values))
+            return sure(v.col.isin(values))
         if isinstance(v.kind, T.NumericType) and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in values):
-            return _sure(v.col.isin(values))
+            return sure(v.col.isin(values))
     out = F.lit(False)
     for x in values:
-        out = out | equals(v, x)
+        out = out | equals(v, x, exact)
     return out
 
 
-def build(expr: dict, lookup: Callable[[str], Value]) -> Column:
-    """The Column of a has expression; it is never null."""
+def build(expr: dict, lookup: Callable[[str], Value], exact: bool = False) -> Column:
+    """The Column of a has expression, to filter by; where a not is above, it is never null."""
     if len(expr) != 1:
         raise PlanError(f"an expression has one key, not {sorted(expr)}")
     name, body = next(iter(expr.items()))
     if name == "condition":
-        return compare(body["condition"], lookup(body["key"]), body.get("value"))
+        return compare(body["condition"], lookup(body["key"]), body.get("value"), exact)
     if name in ("and", "or"):
         out = F.lit(name == "and")
         for part in body["expressions"] if isinstance(body, dict) else body:
-            out = out & build(part, lookup) if name == "and" else out | build(part, lookup)
+            out = out & build(part, lookup, exact) if name == "and" else out | build(part, lookup, exact)
         return out
     if name == "not":
-        return ~build(body, lookup)
+        return ~build(body, lookup, True)
     raise PlanError(f"no expression is named {name}")
 
 

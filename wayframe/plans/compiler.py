@@ -248,9 +248,9 @@ def one(ctx: Context, f: Frame, i: int) -> Frame:
     if name == "has":
         return f.with_df(df.where(conditions.build(v, f.value)))
     if name == "hasLabel":
-        return f.with_df(df.where(F.coalesce(F.col("cur.label").isin(v), F.lit(False))))
+        return f.with_df(df.where(F.col("cur.label").isin(v)))
     if name == "hasId":
-        return f.with_df(df.where(F.coalesce(F.col("cur.gid").isin(v), F.lit(False))))
+        return f.with_df(df.where(F.col("cur.gid").isin(v)))
     if name == "hasKey":
         for key in v:
             df = df.where(f.value(key).exists)
