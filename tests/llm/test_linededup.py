@@ -32,7 +32,7 @@ def brute_chunks(t, seeds=L.SEEDS):
             cut = i == len(ls) - 1 or int(K.mix(h + K.salt(seed + 1))[0]) & 1 == 0
             if cut:
                 if i - a + 1 >= L.MIN_LINES and ends[i] - ls[a][0] >= L.MIN_BYTES:
-                    got.add((ls[a][0], ends[i]))
+                    got.add((ls[a][0], ends[i], tuple(b[ls[j][0] : ends[j]] for j in range(a, i + 1))))
                 a = i + 1
     return sorted(got)
 
@@ -42,8 +42,7 @@ def brute_dedup(rows):
     seen, out = {}, {}
     for i, t in sorted(rows):
         gone = np.zeros(len(t.encode()), bool)
-        for s, e in brute_chunks(t):
-            x = t.encode()[s:e]
+        for s, e, x in brute_chunks(t):
             if x in seen:
                 gone[s:e] = True
             else:
@@ -74,7 +73,7 @@ def test_lines_and_chunks_match_brute_force():
         s, e = L.lines(buf, offs)
         assert list(zip(s.tolist(), e.tolist())) == brute_lines(t)
         _, _, p, q = L.chunks(buf, offs)
-        assert sorted(zip(p.tolist(), q.tolist())) == brute_chunks(t)
+        assert sorted(zip(p.tolist(), q.tolist())) == [x[:2] for x in brute_chunks(t)]
 
 
 def test_removal_matches_brute_force(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +11,7 @@ from . import textkernel as K
 from .common import map_arrow
 
 #: Independent chunkings; a passage is found if any of them has a chunk within it.
-SEEDS = 3
+SEEDS = 6
 #: A chunk counts from so many lines and bytes on.
 MIN_LINES, MIN_BYTES = 2, 60
 
@@ -42,33 +40,38 @@ def lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends[:-1])), ends
 
 
+def hashed_lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, end and hash of each line; the end is without the blanks that end the line, at most two."""
+    s, e = lines(buf, offs)
+    row = np.searchsorted(offs, s, side="right") - 1
+    if len(s):
+        e = e - K.BLANK[buf[e - 1]]
+        e -= (e > s) & K.BLANK[buf[np.maximum(e - 1, 0)]]
+    return row, s, e, K.span_hashes(buf, s, e)
+
+
 def chunks(buf: np.ndarray, offs: np.ndarray, seeds: int = SEEDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, digest, and first and last byte (relative to the row) of each multi-line chunk.
 
-    For each seed, a line ends a chunk if a seeded hash of the rolling line
-    hash says so (one line in two), or if it is the last one.  Blanks at the
-    ends of a line don't count for its hash.
+    For each seed, a line ends a chunk if a seeded hash of the line's hash
+    says so (one line in two), or if it is the last one.  The digest is that
+    of the lines' hashes in their order.
     """
-    s, e = lines(buf, offs)
+    row, s, e, h = hashed_lines(buf, offs)
     none = np.zeros(0, np.int64)
     if not len(s):
         return none, none.astype(_U), none, none
-    row = np.searchsorted(offs, s, side="right") - 1
-    # a line without what blanks end it: at most two bytes
-    e2 = e - K.BLANK[buf[e - 1]]
-    e2 -= (e2 > s) & K.BLANK[buf[np.maximum(e2 - 1, 0)]]
-    h = K.span_hashes(buf, s, e2)
     last = np.append(row[1:] != row[:-1], True)
     out = []
     for seed in range(seeds):
         cut = last | ((K.mix(h + K.salt(seed + 1)) & _U(1)) == 0)
         b = np.flatnonzero(cut)
         a = np.concatenate(([0], b[:-1] + 1))
-        keep = (b - a + 1 >= MIN_LINES) & (e2[b] - s[a] >= MIN_BYTES)
+        keep = (b - a + 1 >= MIN_LINES) & (e[b] - s[a] >= MIN_BYTES)
         out.append((a[keep], b[keep]))
     ab = np.unique(np.concatenate([a * (len(s) + 1) + b for a, b in out]))
     a, b = ab // (len(s) + 1), ab % (len(s) + 1)
-    return row[a], K.span_hashes(buf, s[a], e2[b]), s[a] - offs[row[a]], e2[b] - offs[row[a]]
+    return row[a], K.sequence_hashes(h, a, b + 1), s[a] - offs[row[a]], e[b] - offs[row[a]]
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -87,6 +90,19 @@ def _find(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(key[np.concatenate(rows)]), pa.array(at)], ["digest", "k", "at"])
 
 
+def _candidates(text: pa.Array, at: pa.Array) -> tuple:
+    """The lines of each text, and of each candidate its row, place, and first and last line; none that doesn't fit."""
+    buf, offs = K.raw(text.cast(pa.string()))
+    _, s, e, h = hashed_lines(buf, offs)
+    parent = np.repeat(np.arange(len(text)), np.diff(at.offsets.to_numpy()))
+    place = at.flatten().to_numpy()
+    lo, hi = offs[parent] + (place >> 32), offs[parent] + (place & 0xFFFFFFFF)
+    a = np.minimum(np.searchsorted(s, lo), max(len(s) - 1, 0))
+    b = np.maximum(np.searchsorted(s, hi) - 1, 0)
+    ok = (s[a] == lo) & (e[b] == hi) & (b >= a) if len(s) else np.zeros(len(lo), bool)
+    return buf, s, e, h, parent[ok], place[ok], a[ok], b[ok]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every passage but its first occurrence removed from the texts.
 
@@ -97,10 +113,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Lines (see ``lines``) are cut into chunks where a hash of the line says
     so, so the same run of lines gives the same chunks wherever it stands.
     Chunks of two lines and 60 bytes at least whose 64-bit digest occurs twice
-    are candidates; their bytes are fetched and compared, and of equal ones
-    all but the first by (doc_id, place) go, in one document as well as over
-    many.  Single lines are never removed.  A passage whose lines are not
-    aligned (a line differs where it begins) loses what is aligned.
+    are candidates.  The bytes of all their lines are fetched and compared:
+    only if lines of equal hash are equal in bytes, and chunks are equal line
+    by line, are they the same.  Of the same chunks all but the first by
+    (doc_id, place) go, in one document as well as over many.  Single lines
+    are never removed.  Blanks and line ends between lines don't count.  A
+    passage that begins or ends within a line keeps that line.
 
     Null texts stay null, empty ones empty.  Rows that repeat both doc_id and
     text are one document; those that repeat only doc_id are different ones.
@@ -111,29 +129,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.withColumn("__k", _key(id_col, text_col))
     found = map_arrow(src.where(F.length(text_col) > MIN_BYTES // 4).select(F.col("__k").alias("k"), F.col(text_col).cast("string").alias("text")), _find, "digest long, k long, at long")
     times = found.withColumn("n", F.count("*").over(Window.partitionBy("digest"))).where("n > 1")
-    wanted = times.groupBy("k").agg(F.collect_list(F.struct("at", "digest")).alias("__c")).withColumnRenamed("k", "__c_k")
+    wanted = times.groupBy("k").agg(F.collect_list("at").alias("__c")).withColumnRenamed("k", "__c_k")
 
     i_id, i_text = names.index(id_col), names.index(text_col)
 
-    def fetch(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        cand = b.column(len(names) + 1)
-        offs = cand.offsets.to_numpy()
-        parent = np.repeat(np.arange(b.num_rows), np.diff(offs))
-        flat = cand.flatten()
-        at, digest = flat.field("at").to_numpy(), flat.field("digest")
-        buf, to = K.raw(b.column(i_text).cast(pa.string()))
-        raw = buf.tobytes()
-        lo, hi = to[parent] + (at >> 32), to[parent] + (at & 0xFFFFFFFF)
-        ok = hi <= to[parent + 1]
-        spans = pa.array([raw[x:y] if o else None for x, y, o in zip(lo.tolist(), hi.tolist(), ok.tolist())], pa.binary())
+    def places(b: pa.RecordBatch) -> pa.RecordBatch:
+        _, _, _, h, parent, place, first, last = _candidates(b.column(i_text), b.column(len(names) + 1))
+        n = last - first + 1
+        to = np.concatenate(([0], np.cumsum(n)))
+        flat = np.repeat(first - to[:-1], n) + np.arange(to[-1])
+        runs = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(h[flat].view(np.int64)))
         pick = pa.array(parent)
-        return pa.RecordBatch.from_arrays([digest, spans, b.column(i_id).cast(pa.int64()).take(pick), b.column(len(names)).take(pick), pa.array(at)], ["digest", "bytes", "id", "k", "at"])
+        return pa.RecordBatch.from_arrays([runs, b.column(i_id).cast(pa.int64()).take(pick), b.column(len(names)).take(pick), pa.array(place)], ["lines", "id", "k", "at"])
+
+    def contents(b: pa.RecordBatch) -> pa.RecordBatch:
+        buf, s, e, h, _, _, first, last = _candidates(b.column(i_text), b.column(len(names) + 1))
+        covered = np.zeros(len(s) + 1, np.int64)
+        np.add.at(covered, first, 1)
+        np.add.at(covered, last + 1, -1)
+        _, once = np.unique(np.where(np.cumsum(covered[:-1]) > 0, h, _U(0)), return_index=True)
+        once = once[np.cumsum(covered[:-1])[once] > 0]
+        raw = buf.tobytes()
+        texts = pa.array([raw[x:y] for x, y in zip(s[once].tolist(), e[once].tolist())], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), texts], ["line", "bytes"])
 
-    # both joins read the same shuffled rows of src
+    # the joins and both uses of this one read the same shuffled rows of src
     held = src.join(wanted, F.col("__k") == F.col("__c_k")).select(*names, "__k", "__c")
-    spans = map_arrow(held, fetch, "digest long, bytes binary, id long, k long, at long").where("bytes is not null").dropDuplicates(["k", "at"])
-    nth = F.row_number().over(Window.partitionBy("digest", "bytes").orderBy("id", "k", "at"))
-    gone = spans.withColumn("nth", nth).where("nth > 1").select("k", F.struct(F.shiftright("at", 32).alias("lo"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("hi")).alias("r"))
+    shown = map_arrow(held, contents, "line long, bytes binary").distinct()
+    # hashes that stand for different lines; hardly ever any, and then a handful
+    mixed = shown.groupBy("line").count().where("count > 1").agg(F.collect_list("line").alias("mixed"))
+    same = map_arrow(held, places, "lines array<long>, id long, k long, at long").dropDuplicates(["k", "at"])
+    same = same.join(F.broadcast(mixed)).where(~F.arrays_overlap("lines", "mixed"))
+    nth = F.row_number().over(Window.partitionBy("lines").orderBy("id", "k", "at"))
+    gone = same.withColumn("nth", nth).where("nth > 1").select("k", F.struct(F.shiftright("at", 32).alias("lo"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("hi")).alias("r"))
     gone = gone.groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("__r")).withColumnRenamed("k", "__r_k")
 
     raw = F.encode(F.col(text_col).cast("string"), "UTF-8")

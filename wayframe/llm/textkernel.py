@@ -144,6 +144,15 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(_U))
 
 
+def sequence_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of hashes; equal runs give equal hashes anywhere."""
+    if len(starts) == 0:
+        return np.zeros(0, _U)
+    c = np.zeros(len(h) + 1, _U)
+    np.cumsum(h * _table("p", len(h))[: len(h)], out=c[1:])
+    return mix((c[ends] - c[starts]) * _table("q", len(h) + 1)[starts] + (ends - starts).astype(_U))
+
+
 def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i+1]] along axis 0; empty segments give 0."""
     lo, hi = bounds[:-1], bounds[1:]
