@@ -28,7 +28,7 @@ MIX = 0.7
 #: The filter is made of so many parts of their own; an n-gram's probes all lie in one.
 PARTS = 1024
 #: Keys that a worker sorts at a time while it counts.
-COMBINE_KEYS = 4_000_000
+COMBINE_KEYS = 2_000_000
 #: Most bytes of filter that are broadcast at once; a larger filter takes more passes over the documents.
 BROADCAST_BYTES = 96 << 20
 
@@ -229,9 +229,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
             held[0] = Filter(*sent.value)
         return held[0]
 
-    def finish(b: pa.RecordBatch, rows: np.ndarray, lp: np.ndarray) -> pa.RecordBatch:
-        n = np.bincount(rows, minlength=b.num_rows).astype(np.int64)
-        s = np.bincount(rows, lp, minlength=b.num_rows)
+    def finish(b: pa.RecordBatch, n: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
         ppl = np.exp(-s / np.maximum(n, 1))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(s), pa.array(ppl, mask=n == 0)], ["doc_id", "tokens", "log_prob", "perplexity"])
 
@@ -241,11 +239,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             f = at_hand(sent)
-            rows, lps = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for lo, _, row, u, bi, prev in _levels_of(b, f):
-                rows.append(row + lo)
-                lps.append(log_probability(u, bi, prev, total))
-            return finish(b, np.concatenate(rows), np.concatenate(lps))
+            n, s = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for lo, hi, row, u, bi, prev in _levels_of(b, f):
+                n[lo:hi] = np.bincount(row, minlength=hi - lo)
+                s[lo:hi] = np.bincount(row, log_probability(u, bi, prev, total), minlength=hi - lo)
+            return finish(b, n, s)
 
         return map_arrow(d, run, out_schema)
 
@@ -271,11 +269,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
         sent.unpersist()
 
     def end(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows, lps = [np.zeros(0, np.int64)], [np.zeros(0)]
+        n, s = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
         for i, raw in enumerate(b.column("levels")):
             x = np.frombuffer(raw.as_py() or b"", np.uint8).reshape(3, -1)
-            rows.append(np.full(x.shape[1], i))
-            lps.append(log_probability(*x, total))
-        return finish(b, np.concatenate(rows), np.concatenate(lps))
+            n[i], s[i] = x.shape[1], log_probability(*x, total).sum()
+        return finish(b, n, s)
 
     return map_arrow(now.select("doc_id", "levels"), end, out_schema)
