@@ -156,7 +156,7 @@ _register("path", "SELECT 'Nation:' || n_nationkey || '>' || 'Region:' || n_regi
     lambda g: g.query().V().hasLabel("Nation").out("in_region").in_("in_region").path().to_df().select(F.array_join(F.transform("path", lambda p: p["vertex"]), ">").alias("path"))
 )
 _walk("unwind", "SELECT 'Part:' || p_partkey AS gid, unnest(string_split(p_type, ' ')) AS word FROM part", lambda q: q.V().hasLabel("Part").unwind("p_words"), gid="_gid", word="p_words")
-_walk("set_increment", "SELECT 'Nation:' || n_nationkey AS gid, CAST(7 AS BIGINT) AS level, CAST(n_regionkey + 2 AS BIGINT) AS key FROM nation", lambda q: q.V().hasLabel("Nation").set("level", 4).increment("level", 3).increment("n_regionkey", 2), gid="_gid", level="level", key="n_regionkey")
+_walk("set_increment", "SELECT 'Nation:' || n_nationkey AS gid, CAST(7 AS BIGINT) AS level, CAST(n_regionkey + 2 AS INTEGER) AS key FROM nation", lambda q: q.V().hasLabel("Nation").set("level", 4).increment("level", 3).increment("n_regionkey", 2), gid="_gid", level="level", key="n_regionkey")
 
 # how many
 _walk("distinct", "SELECT DISTINCT p_brand AS brand FROM part", lambda q: q.V().hasLabel("Part").distinct("p_brand"), brand="p_brand")
