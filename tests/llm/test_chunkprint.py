@@ -70,3 +70,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = {(r.doc_id, r.other_id) for r in C.containment(odd_docs).collect()}
     assert {(4, 5), (5, 4)} <= got and all(a != b and a is not None for a, b in got)
     assert C.containment(no_docs).count() == 0
+
+
+def test_finds_near_copies_with_scattered_edits(spark):
+    """Recall against the Jaccard index of 3-word shingles, which knows nothing of chunks."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(2000)]
+    rows, pairs = [], {}
+    shingles = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    for i in range(120):
+        w = rng.choices(vocab, k=250)
+        v = [rng.choice(vocab) if rng.random() < (0.02, 0.035, 0.055)[i % 3] else x for x in w]
+        a, b = shingles(w), shingles(v)
+        pairs[2 * i, 2 * i + 1] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in C.containment(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= set(pairs)
+    for lo, hi, least in ((0.8, 1, 0.95), (0.7, 0.8, 0.8)):
+        want = [p for p, j in pairs.items() if lo <= j < hi]
+        assert len(want) >= 20 and sum(p in got for p in want) >= least * len(want), (lo, len(want), sum(p in got for p in want))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import cut, map_arrow
 
-#: Shortest, usual and longest chunk in bytes.
-LEAST, USUAL, MOST = 64, 256, 1024
+#: Shortest, usual and longest chunk in bytes: five to eight words, so that an edited word spoils little more than itself.
+LEAST, USUAL, MOST = 32, 32, 128
 #: Bits that must be zero before the usual length is reached, and beyond it.
-STRICT_BITS, LOOSE_BITS = 10, 6
-THRESHOLD = 0.5
+STRICT_BITS, LOOSE_BITS = 4, 4
+THRESHOLD = 0.3
 _WINDOW = 32
 SIZE_MASK = 2047
 
