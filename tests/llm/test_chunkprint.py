@@ -89,3 +89,18 @@ def test_finds_near_copies_with_scattered_edits(spark):
     for lo, hi, least in ((0.8, 1, 0.95), (0.7, 0.8, 0.8)):
         want = [p for p, j in pairs.items() if lo <= j < hi]
         assert len(want) >= 20 and sum(p in got for p in want) >= least * len(want), (lo, len(want), sum(p in got for p in want))
+
+
+def test_every_row_has_its_partners(spark):
+    ts = texts()
+    rows = list(enumerate(ts)) + [(40 + i, ts[k]) for i, k in enumerate((1, 3, 6, 24, 27))] + [(5, ts[1]), (50, ts[5])]
+    print_of = lambda t: {code(t.encode()[a:b]) for a, b in brute_chunks(t)}
+    sets = [(i, print_of(t)) for i, t in rows if t]
+    w = lambda s: sum(c & C.SIZE_MASK for c in s)
+    want = {}
+    for i, a in sets:
+        for j, b in sets:
+            if i != j and w(a & b) >= 0.5 * w(a):
+                want[i, j] = max(want.get((i, j), 0), w(a & b) / w(a))
+    got = {(r.doc_id, r.other_id): r.containment for r in C.partners(C.containment(spark.createDataFrame(rows, "doc_id long, text string"), 0.5)).collect()}
+    assert (40, 43) in got and set(got) == set(want) and all(abs(got[p] - c) < 1e-12 for p, c in want.items())

@@ -101,12 +101,16 @@ def chunk_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_arrow(src, run, "doc_id long, codes array<long>")
 
 
+def _class() -> Column:
+    return F.xxhash64("print", "lead")
+
+
 def _weight(codes: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(SIZE_MASK))
 
 
 def containment(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, other_id, shared (bytes) and containment, for pairs from the threshold on.
+    """Returns doc_id, other_id, shared (bytes), containment, class_id and other_class, for pairs from the threshold on.
 
     Containment is the share of doc_id's weight, the bytes of its distinct
     chunks, that other_id's chunk set has too; it isn't symmetric.
@@ -114,7 +118,9 @@ def containment(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     Documents with equal chunk sets form a class led by their least doc_id.
     Each member but the leader comes with its leader and containment 1;
     searched for are pairs of leaders, every leader being a query.  What a
-    member has in common with others is what its leader has.
+    member has in common with others is what its leader has: class_id and
+    other_class name the classes of the two ids, and ``partners`` makes of
+    them the pairs of all rows.
 
     The search is exact: a document's chunks outside of a set that holds at
     least t of its weight weigh 1 - t at most, so of its rarest chunks that
@@ -130,18 +136,18 @@ def containment(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     sets = cut(chunk_sets(docs, id_col, text_col).where("doc_id is not null and size(codes) > 0").withColumn("print", F.xxhash64("codes")), "chunk-sets")
-    classes = sets.groupBy("print", "codes").agg(F.min("doc_id").alias("lead"))
+    classes = sets.groupBy("print", "codes").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
     named = sets.join(classes.select(F.col("print").alias("p"), F.col("codes").alias("c"), "lead"), (F.col("print") == F.col("p")) & (F.col("codes") == F.col("c")))
-    members = named.where("doc_id <> lead").select("doc_id", F.col("lead").alias("other_id"), _weight(F.col("codes")).alias("shared"), F.lit(1.0).alias("containment")).distinct()
+    members = named.where("doc_id <> lead").select("doc_id", F.col("lead").alias("other_id"), _weight(F.col("codes")).alias("shared"), F.lit(1.0).alias("containment"), _class().alias("class_id"), _class().alias("other_class")).distinct()
 
-    classes = cut(classes.select(F.xxhash64("print", "lead").alias("k"), "lead", "codes"), "chunk-classes")
+    classes = cut(classes.select(_class().alias("k"), "lead", "last", "codes"), "chunk-classes")
     flat = classes.select("k", F.explode("codes").alias("code"))
     df = flat.groupBy("code").agg(F.count("*").alias("df")).where("df > 1")
     # only chunks of several classes lead anywhere; the others count by their weight alone
     known = flat.join(df, "code").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "code"))).alias("r"))
-    full = classes.select("k", "lead", _weight(F.col("codes")).alias("w")).join(known, "k")
+    full = classes.select("k", "lead", "last", _weight(F.col("codes")).alias("w")).join(known, "k")
     codes = F.transform("r", lambda x: x["code"])
-    slim = full.select("k", "lead", "w", codes.alias("codes"))
+    slim = full.select("k", "lead", "last", "w", codes.alias("codes"))
     slim = cut(slim.withColumn("alone", F.col("w") - _weight(F.col("codes"))).where(_weight(F.col("codes")) >= F.col("w") * threshold), "chunk-ranked")
 
     def rare(acc: Column, x: Column) -> Column:
@@ -154,9 +160,27 @@ def containment(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     # a container may itself be within no other document, so all shared chunks are held
     held = flat.join(df.select("code"), "code", "left_semi").select(F.col("k").alias("b"), "code")
     pairs = probe.join(held, "code").where("a <> b").select("a", "b").distinct()
-    left = slim.select(F.col("k").alias("a"), F.col("lead").alias("doc_id"), "w", F.col("codes").alias("ca"))
-    right = classes.select(F.col("k").alias("b"), F.col("lead").alias("other_id"), F.col("codes").alias("cb"))
-    both = pairs.join(left, "a").join(right, "b").where("doc_id <> other_id")
-    found = both.select("doc_id", "other_id", _weight(F.array_intersect("ca", "cb")).alias("shared"), "w").where(F.col("shared") >= F.col("w") * threshold)
-    found = found.select("doc_id", "other_id", "shared", (F.col("shared") / F.col("w")).alias("containment"))
+    left = slim.select(F.col("k").alias("a"), F.col("lead").alias("la"), F.col("last").alias("za"), "w", F.col("codes").alias("ca"))
+    right = classes.select(F.col("k").alias("b"), F.col("lead").alias("lb"), F.col("last").alias("zb"), F.col("codes").alias("cb"))
+    # a doc_id that leads both classes gives its place to another member of one of them
+    one = F.when((F.col("la") != F.col("lb")) | (F.col("la") != F.col("zb")), F.col("la")).otherwise(F.col("za"))
+    two = F.when(F.col("la") != F.col("lb"), F.col("lb")).when(F.col("la") != F.col("zb"), F.col("zb")).otherwise(F.col("lb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("doc_id", one).withColumn("other_id", two).where("doc_id <> other_id")
+    found = both.select("doc_id", "other_id", _weight(F.array_intersect("ca", "cb")).alias("shared"), "w", "a", "b").where(F.col("shared") >= F.col("w") * threshold)
+    found = found.select("doc_id", "other_id", "shared", (F.col("shared") / F.col("w")).alias("containment"), F.col("a").alias("class_id"), F.col("b").alias("other_class"))
     return found.unionByName(members)
+
+
+def partners(found: DataFrame) -> DataFrame:
+    """doc_id, other_id, shared and containment of every two documents that the rows of containment stand for.
+
+    Grows with the square of a class.  Of rows that repeat a doc_id the most
+    that one of them shares counts.
+    """
+    ids = found.select(F.col("class_id").alias("c"), F.col("doc_id").alias("id")).union(found.select("other_class", "other_id")).distinct()
+    own = found.where("class_id = other_class").select("class_id", "other_class", "shared", "containment").distinct()
+    across = found.where("class_id <> other_class").select("class_id", "other_class", "shared", "containment")
+    a, b = ids.select(F.col("c").alias("class_id"), F.col("id").alias("doc_id")), ids.select(F.col("c").alias("other_class"), F.col("id").alias("other_id"))
+    every = across.unionByName(own).join(a, "class_id").join(b, "other_class").where("doc_id <> other_id")
+    most = F.max(F.struct("containment", "shared")).alias("m")
+    return every.groupBy("doc_id", "other_id").agg(most).select("doc_id", "other_id", "m.shared", "m.containment")
