@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -135,20 +135,19 @@ def containment(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sets = cut(chunk_sets(docs, id_col, text_col).where("doc_id is not null and size(codes) > 0").withColumn("print", F.xxhash64("codes")), "chunk-sets")
-    classes = sets.groupBy("print", "codes").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
-    named = sets.join(classes.select(F.col("print").alias("p"), F.col("codes").alias("c"), "lead"), (F.col("print") == F.col("p")) & (F.col("codes") == F.col("c")))
-    members = named.where("doc_id <> lead").select("doc_id", F.col("lead").alias("other_id"), _weight(F.col("codes")).alias("shared"), F.lit(1.0).alias("containment"), _class().alias("class_id"), _class().alias("other_class")).distinct()
+    sets = chunk_sets(docs, id_col, text_col).where("doc_id is not null and size(codes) > 0").withColumn("print", F.xxhash64("codes"))
+    classes = sets.groupBy("print", "codes").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.collect_set("doc_id").alias("ids"))
+    classes = cut(classes.select(_class().alias("k"), "lead", "last", "ids", "codes"), "chunk-classes")
+    members = classes.where("lead <> last").select(F.explode("ids").alias("doc_id"), F.col("lead").alias("other_id"), _weight(F.col("codes")).alias("shared"), F.lit(1.0).alias("containment"), F.col("k").alias("class_id"), F.col("k").alias("other_class")).where("doc_id <> other_id")
 
-    classes = cut(classes.select(_class().alias("k"), "lead", "last", "codes"), "chunk-classes")
     flat = classes.select("k", F.explode("codes").alias("code"))
-    df = flat.groupBy("code").agg(F.count("*").alias("df")).where("df > 1")
     # only chunks of several classes lead anywhere; the others count by their weight alone
-    known = flat.join(df, "code").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "code"))).alias("r"))
+    common = cut(flat.withColumn("df", F.count("*").over(Window.partitionBy("code"))).where("df > 1"), "chunk-shared")
+    known = common.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "code"))).alias("r"))
     full = classes.select("k", "lead", "last", _weight(F.col("codes")).alias("w")).join(known, "k")
     codes = F.transform("r", lambda x: x["code"])
-    slim = full.select("k", "lead", "last", "w", codes.alias("codes"))
-    slim = cut(slim.withColumn("alone", F.col("w") - _weight(F.col("codes"))).where(_weight(F.col("codes")) >= F.col("w") * threshold), "chunk-ranked")
+    full = cut(full.select("k", "lead", "last", "w", codes.alias("codes")), "chunk-ranked")
+    slim = full.withColumn("alone", F.col("w") - _weight(F.col("codes"))).where(_weight(F.col("codes")) >= F.col("w") * threshold)
 
     def rare(acc: Column, x: Column) -> Column:
         more = acc["left"] >= 0
@@ -158,10 +157,10 @@ def containment(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     taken = F.aggregate("codes", F.struct(allowed.alias("left"), F.lit(0).alias("n")), rare)["n"]
     probe = slim.select(F.col("k").alias("a"), F.explode(F.slice("codes", F.lit(1), taken)).alias("code"))
     # a container may itself be within no other document, so all shared chunks are held
-    held = flat.join(df.select("code"), "code", "left_semi").select(F.col("k").alias("b"), "code")
+    held = common.select(F.col("k").alias("b"), "code")
     pairs = probe.join(held, "code").where("a <> b").select("a", "b").distinct()
     left = slim.select(F.col("k").alias("a"), F.col("lead").alias("la"), F.col("last").alias("za"), "w", F.col("codes").alias("ca"))
-    right = classes.select(F.col("k").alias("b"), F.col("lead").alias("lb"), F.col("last").alias("zb"), F.col("codes").alias("cb"))
+    right = full.select(F.col("k").alias("b"), F.col("lead").alias("lb"), F.col("last").alias("zb"), F.col("codes").alias("cb"))
     # a doc_id that leads both classes gives its place to another member of one of them
     one = F.when((F.col("la") != F.col("lb")) | (F.col("la") != F.col("zb")), F.col("la")).otherwise(F.col("za"))
     two = F.when(F.col("la") != F.col("lb"), F.col("lb")).when(F.col("la") != F.col("zb"), F.col("zb")).otherwise(F.col("lb"))
