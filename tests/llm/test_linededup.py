@@ -102,3 +102,33 @@ def test_copies_empty_and_extra_columns(spark, odd_docs, no_docs):
     d = spark.createDataFrame([(1, t, "x"), (2, t, "x")], "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in L.clean(d).collect()}
     assert got[1] == t and len(got.get(2, "")) < len(t) / 5
+
+
+def surviving(rows):
+    """Documents that hold a run of 50 words, 25 of them different, that an earlier one has."""
+    seen, n = set(), 0
+    for _, t in sorted((i, t) for i, t in rows if t):
+        w = t.split()
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        n += any(x in seen and len(set(x)) >= 25 for x in runs)
+        seen.update(runs)
+    return n
+
+
+def test_aligned_passages_go_whole(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 8)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + "."
+    shared = [[sentence(k) for k in n] for n in ((8, 9), (30, 30), (55,), (9, 7, 8), (20, 2, 2), (1, 1, 18)) for _ in range(8)]
+    rows = []
+    for i, p in enumerate(shared):
+        for j in (0, 100):
+            rows.append((i + j, " ".join([sentence(10), *p, sentence(12)])))
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()}
+    for i, p in enumerate(shared):
+        assert got[i] == rows[2 * i][1] and not any(x in got[100 + i] for x in p), (i, p)
+        assert got[100 + i].count(".") == 2
+    # a whole table, against what the chunkings leave
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before, chunked, now = (surviving([(r.doc_id, r.text) for r in x.collect()]) for x in (d, L.remove_repeats(d), L.remove_repeats(d, every=True)))
+    assert now < chunked < before and now <= 0.1 * before, (before, chunked, now)

@@ -14,6 +14,8 @@ from .common import map_arrow
 SEEDS = 6
 #: A chunk counts from so many lines and bytes on.
 MIN_LINES, MIN_BYTES = 2, 60
+#: A single line counts from so many words on.
+LONG_WORDS = 50
 
 _U = np.uint64
 _END = np.zeros(256, bool)
@@ -74,16 +76,43 @@ def chunks(buf: np.ndarray, offs: np.ndarray, seeds: int = SEEDS) -> tuple[np.nd
     return row[a], K.sequence_hashes(h, a, b + 1), s[a] - offs[row[a]], e[b] - offs[row[a]]
 
 
+def windows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``chunks``, of all the shortest runs of lines that count, and of single lines of LONG_WORDS words or more.
+
+    From each line on, and up to each line, the least lines that are MIN_LINES
+    and MIN_BYTES.  Whatever run of lines two documents share, if it is that
+    long, these cover all of it, so no match needs to be extended by lines.
+    """
+    row, s, e, h = hashed_lines(buf, offs)
+    if not len(s):
+        none = np.zeros(0, np.int64)
+        return none, none.astype(_U), none, none
+    at = np.arange(len(s))
+    # ends go up with the lines, except for lines of blanks only
+    up = np.maximum.accumulate(e)
+    b = np.maximum(at + MIN_LINES - 1, np.searchsorted(up, s + MIN_BYTES))
+    a = np.minimum(at - MIN_LINES + 1, np.searchsorted(s, e - MIN_BYTES, side="right") - 1)
+    first, _ = K.tokens(buf, offs)
+    long = at[np.searchsorted(first, e) - np.searchsorted(first, s) >= LONG_WORDS]
+    a, b = np.concatenate((at, a, long)), np.concatenate((b, at, long))
+    ok = (a >= 0) & (b < len(s))
+    a, b = a[ok], b[ok]
+    ok = (row[a] == row[b]) & (e[b] - s[a] >= MIN_BYTES)
+    ab = np.unique(a[ok] * (len(s) + 1) + b[ok])
+    a, b = ab // (len(s) + 1), ab % (len(s) + 1)
+    return row[a], K.sequence_hashes(h, a, b + 1), s[a] - offs[row[a]], e[b] - offs[row[a]]
+
+
 def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def _find(b: pa.RecordBatch) -> pa.RecordBatch:
+def _find(b: pa.RecordBatch, cutter=chunks) -> pa.RecordBatch:
     buf, offs = K.raw(b.column("text"))
     key = b.column("k").to_numpy()
     rows, parts = [], []
     for lo, hi in K.slices(offs):
-        r, d, p, q = chunks(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        r, d, p, q = cutter(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         rows.append(r + lo)
         parts.append((d, (p << 32) | q))
     d, at = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
@@ -103,7 +132,7 @@ def _candidates(text: pa.Array, at: pa.Array) -> tuple:
     return buf, s, e, h, parent[ok], place[ok], a[ok], b[ok]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """docs with every passage but its first occurrence removed from the texts.
 
     All columns and rows of docs come back, with text changed where something
@@ -116,8 +145,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are candidates.  The bytes of all their lines are fetched and compared:
     only if lines of equal hash are equal in bytes, and chunks are equal line
     by line, are they the same.  Of the same chunks all but the first by
-    (doc_id, place) go, in one document as well as over many.  Single lines
-    are never removed.  Blanks and line ends between lines don't count.  A
+    (doc_id, place) go, in one document as well as over many.
+
+    With every, the candidates are those of ``windows`` instead, rolling hashes
+    over all runs of lines: a shared run of lines that counts goes from its
+    first line to its last, and a single line of LONG_WORDS words too.
+    Otherwise single lines are never removed.  Blanks and line ends between lines don't count.  A
     passage that begins or ends within a line keeps that line.
 
     Null texts stay null, empty ones empty.  Rows that repeat both doc_id and
@@ -127,7 +160,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     names = docs.columns
     src = docs.withColumn("__k", _key(id_col, text_col))
-    found = map_arrow(src.where(F.length(text_col) > MIN_BYTES // 4).select(F.col("__k").alias("k"), F.col(text_col).cast("string").alias("text")), _find, "digest long, k long, at long")
+    found = map_arrow(src.where(F.length(text_col) > MIN_BYTES // 4).select(F.col("__k").alias("k"), F.col(text_col).cast("string").alias("text")), lambda b: _find(b, windows if every else chunks), "digest long, k long, at long")
     times = found.withColumn("n", F.count("*").over(Window.partitionBy("digest"))).where("n > 1")
     wanted = times.groupBy("k").agg(F.collect_list("at").alias("__c")).withColumnRenamed("k", "__c_k")
 
@@ -180,15 +213,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(*[F.col("__new").alias(c) if c == text_col else F.col(c) for c in names], (F.coalesce(F.octet_length(text_col), F.lit(0)) - F.coalesce(F.octet_length("__new"), F.lit(0))).cast("long").alias("__removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """doc_id, text without repeats, and the bytes removed, a row for each row of docs."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return remove_repeats(d).withColumnRenamed("__removed", "removed")
+    return remove_repeats(d, every=every).withColumnRenamed("__removed", "removed")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs after remove_repeats, without the rows that it emptied; n_chars follows the text."""
-    out = remove_repeats(docs, id_col, text_col).where((F.col("__removed") == 0) | (F.trim(text_col) != ""))
+    """docs after remove_repeats with every, without the rows that it emptied; n_chars follows the text."""
+    out = remove_repeats(docs, id_col, text_col, every=True).where((F.col("__removed") == 0) | (F.trim(text_col) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

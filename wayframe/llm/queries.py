@@ -43,7 +43,7 @@ def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), every=True)
 
 
 def op10_ngramlm(spark: SparkSession, sf_dir: str) -> DataFrame:
