@@ -83,3 +83,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(x.doc_id or 0 for x in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 7]
     assert S.near_duplicates(no_docs).count() == 0 and S.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_repeated_ids_lose_no_group(spark):
+    x, y = ("alpha beta gamma delta epsilon", "red green blue yellow purple orange")
+    x, y = sorted((x, y), key=brute_print)
+    d = spark.createDataFrame([(3, x), (5, x), (5, y), (7, y), (9, ""), (9, x + " " + y)], "doc_id long, text string")
+    kept = {(r.doc_id, r.fingerprint) for r in S.near_duplicates(d).collect() if r.kept}
+    assert kept == {(3, brute_print(x)), (5, brute_print(y)), (9, brute_print(x + " " + y))}
+    assert sorted((r.doc_id, r.text) for r in S.drop_near_duplicates(d).collect()) == sorted([(3, x), (5, y), (9, x + " " + y)])

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -194,16 +194,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text, empty text and text without words: fingerprint null, a group
     of its own, kept.  Null doc_id: likewise, group_id null.  Rows that repeat
-    a doc_id: one of them is kept.  Ties don't arise: the least doc_id stays.
+    a doc_id: one of each group_id is kept, the one with a fingerprint and the
+    least one first.
     Other columns of docs are never read, whatever their names.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _groups(docs, id_col, text_col, radius, blocks).drop("h")
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, blocks: int = BLOCKS) -> DataFrame:
+    """near_duplicates with a hash h of each row's text."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("h"))
 
     def prints(b: pa.RecordBatch) -> pa.RecordBatch:
         fp, n = fingerprints(b.column("text"))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64), mask=n == 0)], ["doc_id", "fingerprint"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64), mask=n == 0), b.column("h")], ["doc_id", "fingerprint", "h"])
 
-    fps = cut(map_arrow(src, prints, "doc_id long, fingerprint long"), "simhash")
+    fps = cut(map_arrow(src, prints, "doc_id long, fingerprint long, h long"), "simhash")
     real = fps.where("doc_id is not null and fingerprint is not null")
     distinct = cut(real.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     masks = np.array(_masks(radius, max(blocks, radius + 1)), dtype=_U)
@@ -224,20 +234,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rep.join(lead, "root").select(F.col("fingerprint").alias("f"), "lead")
     out = fps.join(named, fps.fingerprint == named.f, "left")
     group = F.when(F.col("doc_id").isNull(), None).when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("lead"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("fingerprint"))
-    return out.select("doc_id", "fingerprint", group.alias("group_id"), nth.alias("nth")).select(
-        "doc_id", "fingerprint", "group_id", (F.col("doc_id").isNull() | ((F.col("group_id") == F.col("doc_id")) & (F.col("nth") == 1))).alias("kept")
+    nth = F.row_number().over(Window.partitionBy("group_id").orderBy("doc_id", F.col("fingerprint").asc_nulls_last(), "h"))
+    return out.select("doc_id", "fingerprint", "h", group.alias("group_id")).select(
+        "doc_id", "fingerprint", "h", "group_id", (F.col("doc_id").isNull() | (nth == 1)).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
-    found = cut(near_duplicates(docs, id_col, text_col, radius), "simhash-groups")
-    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("k"), F.count("*").alias("n"))
-    lost = gone.where(~F.col("k")).select(F.col("doc_id").alias(id_col))
-    out = docs.join(lost, id_col, "left_anti").select(docs.columns)
+    found = cut(_groups(docs, id_col, text_col, radius), "simhash-groups")
+    gone = found.where("doc_id is not null").groupBy("doc_id", "h").agg(F.max("kept").alias("k"), F.count("*").alias("n"))
+    lost = gone.where(~F.col("k")).select(F.col("doc_id").alias("__lost_id"), F.col("h").alias("__lost_h"))
+    out = docs.join(lost, (F.col(id_col) == F.col("__lost_id")) & (_text_hash(text_col) == F.col("__lost_h")), "left_anti").select(docs.columns)
     if gone.where("k and n > 1").isEmpty():
         return out
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    nth = F.row_number().over(Window.partitionBy(id_col, _text_hash(text_col)).orderBy(F.lit(0)))
     name = "n" + uuid.uuid4().hex
     return out.withColumn(name, nth).where(F.col(id_col).isNull() | (F.col(name) == 1)).drop(name)
