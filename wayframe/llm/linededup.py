@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.withColumn("__k", _key(id_col, text_col))
     found = map_arrow(src.where(F.length(text_col) > MIN_BYTES // 4).select(F.col("__k").alias("k"), F.col(text_col).cast("string").alias("text")), lambda b: _find(b, windows if every else chunks), "digest long, k long, at long")
     times = found.withColumn("n", F.count("*").over(Window.partitionBy("digest"))).where("n > 1")
-    wanted = times.groupBy("k").agg(F.collect_list("at").alias("__c")).withColumnRenamed("k", "__c_k")
+    wanted = times.groupBy("k").agg(F.collect_set("at").alias("__c")).withColumnRenamed("k", "__c_k")
 
     i_id, i_text = names.index(id_col), names.index(text_col)
 
@@ -191,11 +191,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shown = map_arrow(held, contents, "line long, bytes binary").distinct()
     # hashes that stand for different lines; hardly ever any, and then a handful
     mixed = shown.groupBy("line").count().where("count > 1").agg(F.collect_list("line").alias("mixed"))
-    same = map_arrow(held, places, "lines array<long>, id long, k long, at long").dropDuplicates(["k", "at"])
+    same = map_arrow(held, places, "lines array<long>, id long, k long, at long")
     same = same.join(F.broadcast(mixed)).where(~F.arrays_overlap("lines", "mixed"))
-    nth = F.row_number().over(Window.partitionBy("lines").orderBy("id", "k", "at"))
+    # repeated rows have the same rank, so none of them comes after the other
+    nth = F.rank().over(Window.partitionBy("lines").orderBy("id", "k", "at"))
     gone = same.withColumn("nth", nth).where("nth > 1").select("k", F.struct(F.shiftright("at", 32).alias("lo"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("hi")).alias("r"))
-    gone = gone.groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("__r")).withColumnRenamed("k", "__r_k")
+    gone = gone.groupBy("k").agg(F.array_sort(F.collect_set("r")).alias("__r")).withColumnRenamed("k", "__r_k")
 
     raw = F.encode(F.col(text_col).cast("string"), "UTF-8")
     end = F.octet_length(text_col).cast("long")
