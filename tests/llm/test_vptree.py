@@ -25,6 +25,20 @@ def test_factor_one_is_exact_and_recall(spark, sf):
         assert all(len(g) == 10 for g in got.values())
 
 
+def test_query_set_and_hot_ball(spark):
+    """A third of the vectors are equal, and shards are small: the ball is split, nothing is lost."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate((np.ones((300, 8)), rng.normal(size=(300, 8)), rng.normal(size=(300, 8)) * 0.1 + 5)).astype(np.float32)
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    want = brute(np.arange(900), x.astype(float), 5)
+    got = {}
+    for r in V.neighbours(d, k=5, factor=1.0, shard=50, every=100).collect():
+        got.setdefault(r.vec_id, []).append((r.rank, r.distance, r.neighbour_id))
+    assert set(got) == set(range(0, 900, 100))
+    for i, g in got.items():
+        assert [n for _, _, n in sorted(g)] == [j for _, j in want[i]] or np.allclose([c for _, c, _ in sorted(g)], [c for c, _ in want[i]], atol=1e-6)
+
+
 def test_odd_rows(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (None, [0.0, 1.0]), (8, [1.0, 2.0, 3.0]), (3, [5.0, 5.0])]
     rows += [(100 + i, [2.0, 2.0]) for i in range(300)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +53,39 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """All rows of a partition at once; None if there are none."""
+    """All rows of a partition at once; None if there are none.  The caller sizes the partitions."""
     got = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(got).combine_chunks() if got else None
 
 
+def lumps(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
+    """The rows of a partition that is sorted by keys, about ``least`` at a time, never part of a key's rows.
+
+    Memory is bounded by ``least`` rows or those of one key, whatever the partition holds.
+    """
+    held: list[pa.RecordBatch] = []
+    n, goal = 0, least
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < goal:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(n, bool)
+        for k in keys:
+            x = t[k].to_numpy()
+            same &= x == x[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield t.slice(0, cut)
+        held, n = t.slice(cut).to_batches(), n - cut
+        goal = max(least, 2 * n)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of the undirected edges (a, b), both long.
 

@@ -39,7 +39,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vptree.neighbours(table(spark, sf_dir, "embeddings"))
+    return vptree.neighbours(table(spark, sf_dir, "embeddings"), every=vptree.EVERY)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
