@@ -9,23 +9,52 @@ from wayframe.llm import textkernel as K
 
 
 def brute_print(text):
+    """Both halves of the fingerprint; None if there are no words."""
     words = {w for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", K.fold(np.frombuffer(text.encode(), np.uint8)).tobytes())}
     if not words:
         return None
-    acc = np.zeros(64, int)
-    for w in words:
-        b = np.frombuffer(w, np.uint8)
-        h = K.span_hashes(b, np.array([0]), np.array([len(b)])) >> np.uint64(20)
-        acc += np.unpackbits(K.mix(h).view(np.uint8))
-    return int(np.packbits(acc * 2 > len(words)).view(np.int64)[0])
+    out = []
+    for salt in (np.uint64(0), K.salt(77)):
+        acc = [0] * 64
+        for w in words:
+            b = np.frombuffer(w, np.uint8)
+            h = int(K.mix((K.span_hashes(b, np.array([0]), np.array([len(b)])) >> np.uint64(20)) + salt)[0])
+            acc = [x + (h >> i & 1) for i, x in enumerate(acc)]
+        out.append(sum(1 << i for i, x in enumerate(acc) if x * 2 > len(words)))
+    return tuple(out)
 
 
-def test_fingerprint_matches_brute_force():
-    texts = ["a b c d e", "A b c, d e!", "", "été Ñandú 12", "x " * 5000 + "y z", None]
-    fp, n = S.fingerprints(pa.array(texts))
-    for t, f, m in zip(texts, fp.view(np.int64), n):
-        want = brute_print(t or "")
-        assert (want is None and m == 0) or want == f
+def shown(p):
+    return None if p is None else f"{p[0]:016x}{p[1]:016x}"
+
+
+def linked(p, q):
+    d = [(x ^ y).bit_count() for x, y in zip(p, q)]
+    return min(d) <= S.RADIUS and sum(d) <= S.WIDE
+
+
+def test_fingerprint_matches_brute_force(monkeypatch):
+    texts = ["a b c d e", "A b c, d e!", "", "été Ñandú 12", "x " * 5000 + "y z", None, " ".join(f"w{i % 700}" for i in range(3000))]
+    for limit in (K.SLICE_BYTES, 64):
+        monkeypatch.setattr(K, "SLICE_BYTES", limit)
+        one, two, n = S.fingerprints(pa.array(texts))
+        for t, f, g, m in zip(texts, one.tolist(), two.tolist(), n):
+            want = brute_print(t or "")
+            assert (want is None and m == 0) or want == (f, g)
+
+
+def test_a_long_text_stays_small(monkeypatch):
+    """100 MB of one text: what the kernel holds besides the text is a small part of it."""
+    import tracemalloc
+
+    text = pa.array(["".join(f"word{i} " for i in range(20_000)) * 500], pa.large_string())
+    size = len(text[0].as_py())
+    assert size > 90 << 20
+    K._table("p", 5 << 20), K._table("q", 5 << 20)
+    tracemalloc.start()
+    _, _, n = S.fingerprints(text)
+    assert n[0] == 20_000 and tracemalloc.get_traced_memory()[1] < 4 * size
+    tracemalloc.stop()
 
 
 def test_forest_finds_every_pair():
@@ -47,12 +76,13 @@ def test_groups_match_brute_force(spark):
     vocab = [f"w{i}" for i in range(900)]
     texts = [" ".join(rng.choices(vocab, k=120)) for _ in range(40)]
     for i in range(30):
-        w = texts[i].split()
+        w = texts[i // 2].split()
         for _ in range(i % 5):
             w[rng.randrange(len(w))] = "changed" + str(i)
         texts.append(" ".join(w))
     rows = [(100 + i, t) for i, t in enumerate(texts)]
-    got = {r.doc_id: r for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.near_duplicates(d).collect()}
     fps = {i: brute_print(t) for i, t in rows}
     lead = {i: i for i in fps}
 
@@ -63,10 +93,15 @@ def test_groups_match_brute_force(spark):
 
     for a in fps:
         for b in fps:
-            if a < b and bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1") <= S.RADIUS:
+            if a < b and linked(fps[a], fps[b]):
                 x, y = sorted((find(a), find(b)))
                 lead[y] = x
-    assert all(got[i].fingerprint == fps[i] and got[i].group_id == find(i) and got[i].kept == (find(i) == i) for i in fps)
+    different = set(fps.values())
+    assert all(got[i].links == sum(p != fps[i] and linked(p, fps[i]) for p in different) for i in fps)
+    assert {r.links for r in got.values()} > {0, 1}
+    # blocks change the work, not the result
+    assert {i: (r.group_id, r.links) for i, r in got.items()} == {r.doc_id: (r.group_id, r.links) for r in S.near_duplicates(d, blocks=11).collect()}
+    assert all(got[i].fingerprint == shown(fps[i]) and got[i].group_id == find(i) and got[i].kept == (find(i) == i) for i in fps)
     assert len({r.group_id for r in got.values()}) < len(rows)
 
 
@@ -87,8 +122,8 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 def test_repeated_ids_lose_no_group(spark):
     x, y = ("alpha beta gamma delta epsilon", "red green blue yellow purple orange")
-    x, y = sorted((x, y), key=brute_print)
+    x, y = sorted((x, y), key=lambda t: np.array(brute_print(t), np.uint64).view(np.int64).tolist())
     d = spark.createDataFrame([(3, x), (5, x), (5, y), (7, y), (9, ""), (9, x + " " + y)], "doc_id long, text string")
     kept = {(r.doc_id, r.fingerprint) for r in S.near_duplicates(d).collect() if r.kept}
-    assert kept == {(3, brute_print(x)), (5, brute_print(y)), (9, brute_print(x + " " + y))}
+    assert kept == {(3, shown(brute_print(x))), (5, shown(brute_print(y))), (9, shown(brute_print(x + " " + y)))}
     assert sorted((r.doc_id, r.text) for r in S.drop_near_duplicates(d).collect()) == sorted([(3, x), (5, y), (9, x + " " + y)])

@@ -5,60 +5,76 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import components, cut, gather, map_arrow
 
-RADIUS = 8
-#: Blocks of a fingerprint; with 10, each has 45 shards whatever the corpus, so traffic stays in proportion.
+#: Bits that one half of two linked fingerprints may differ in, and bits that both halves may.
+RADIUS, WIDE = 8, 28
+#: Blocks of a half; more of them make smaller shards, and more shards of each fingerprint.
 BLOCKS = 10
+#: Fingerprints that a shard should have at most on average, and rows of shards that a task takes.
+SHARD, TASK_ROWS = 2_000, 1_500_000
 _U = np.uint64
 _ROW_BITS = 20
-
-
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of the set of folded words of each text, and its number of words.
+_LANES = _U(0x0101010101010101)
+#: A shard's number ends with the number of its mask and half.
+_TAIL = 10
+
+
+def _majorities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each segment of hashes the bits that more than half of them have set."""
+    m = np.diff(bounds)
+    parts = -(-m // 255)
+    acc = np.zeros((len(m), 64), np.int64)
+    if len(h):
+        # eight counters of eight bits are added up at a time, over 255 hashes at most
+        at = np.repeat(bounds[:-1], parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        first = np.flatnonzero(parts)
+        seg = (np.cumsum(parts) - parts)[first]
+        for j in range(8):
+            s = np.add.reduceat((h >> _U(j)) & _LANES, at).view(np.uint8).reshape(-1, 8)
+            acc[first[:, None], np.arange(8)[None, :] * 8 + j] = np.add.reduceat(s, seg, axis=0, dtype=np.int64)
+    return np.packbits(acc * 2 > m[:, None], axis=1, bitorder="little").view(_U).ravel()
+
+
+def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash, two halves of 64 bits, of the set of folded words of each text, and its number of words.
 
     A bit is set where more than half of the distinct words have it set.
     """
     buf, offs = K.raw(texts)
     n = len(offs) - 1
-    fps, sizes = np.zeros(n, _U), np.zeros(n, np.int64)
+    one, two, sizes = np.zeros(n, _U), np.zeros(n, _U), np.zeros(n, np.int64)
+    keep = _U(64 - _ROW_BITS)
     for lo, hi in K.slices(offs):
         for a in range(lo, hi, 1 << _ROW_BITS):
             b = min(hi, a + (1 << _ROW_BITS))
-            part, o = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-            part = K.fold(part)
-            s, e = K.words(part, o)
-            row = np.repeat(np.arange(b - a, dtype=_U), K.counts_per_row(s, o))
-            keep = _U(64 - _ROW_BITS)
-            key = np.sort((row << keep) | (K.span_hashes(part, s, e) >> _U(_ROW_BITS)))
-            if len(key):
-                key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+            key = np.zeros(0, _U)
+            # a text beyond a slice comes in pieces, of which only the different words stay
+            for part, o in K.pieces(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], K.WORD):
+                part = K.fold(part)
+                s, e = K.words(part, o)
+                row = np.repeat(np.arange(b - a, dtype=_U), K.counts_per_row(s, o))
+                key = np.sort(np.concatenate((key, (row << keep) | (K.span_hashes(part, s, e) >> _U(_ROW_BITS)))))
+                if len(key):
+                    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
             bounds = np.searchsorted(key >> keep, np.arange(b - a + 1, dtype=_U))
-            h = K.mix(key & _U((1 << (64 - _ROW_BITS)) - 1))
-            acc = np.zeros((b - a, 64), np.int32)
-            # one text of very many words is added up in steps
-            step = 1 << 17
-            for at in range(0, len(h), step):
-                end = min(at + step, len(h))
-                r0, r1 = int(key[at] >> keep), int(key[end - 1] >> keep)
-                bits = np.unpackbits(h[at:end].view(np.uint8).reshape(-1, 8), axis=1)
-                first = np.maximum(bounds[r0 : r1 + 1], at) - at
-                some = np.flatnonzero(np.minimum(bounds[r0 + 1 : r1 + 2], end) - at > first)
-                acc[r0 + some] += np.add.reduceat(bits, first[some], axis=0, dtype=np.int32)
-            m = np.diff(bounds)
-            fps[a:b] = np.packbits(acc * 2 > m[:, None], axis=1).view(_U).ravel()
-            sizes[a:b] = m
-    return fps, sizes
-
-
-def _masks(radius: int, blocks: int) -> list[int]:
+            word = key & _U((1 << (64 - _ROW_BITS)) - 1)
+            one[a:b] = _majorities(K.mix(word), bounds)
+            two[a:b] = _majorities(K.mix(word + K.salt(77)), bounds)
+            sizes[a:b] = np.diff(bounds)
+    return one, two, sizes
+
+
+def masks_of(radius: int, blocks: int) -> np.ndarray:
     """Bit masks of every choice of blocks - radius among blocks of the 64 bits.
 
     Hashes within the radius differ in at most radius blocks, so they agree on
@@ -66,7 +82,19 @@ def _masks(radius: int, blocks: int) -> list[int]:
     """
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     ones = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(ones, blocks - radius)]
+    return np.array([sum(c) for c in combinations(ones, blocks - radius)], dtype=_U)
+
+
+def blocks_for(count: int, radius: int) -> int:
+    """The least number of blocks, BLOCKS or more, that keeps shards small for so many fingerprints.
+
+    Any number gives the same links; fewer blocks mean larger shards, more of
+    them more rows.
+    """
+    b = max(BLOCKS, radius + 1)
+    while count / 2 ** (64 * (b - radius) / b) > SHARD and comb(b + 1, radius) * 2 <= 1 << _TAIL:
+        b += 1
+    return b
 
 
 class Forest:
@@ -150,104 +178,171 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def _edges_of(radius: int):
+def node_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A number for each fingerprint, by which edges name it."""
+    return K.mix(one + K.mix(two + K.salt(3))).view(np.int64)
+
+
+def _members(a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For pairs of nodes the pairs of their members; a node's members follow one another, node i has size[i] of them."""
+    first = np.cumsum(size) - size
+    done = np.cumsum(size[a] * size[b])
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + most, side="right")))
+        x, y = a[lo:hi], b[lo:hi]
+        n = size[x] * size[y]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(size[y], n)
+        yield np.repeat(first[x], n) + nth // wide, np.repeat(first[y], n) + nth % wide
+        lo = hi
+
+
+def _links(masks: np.ndarray, radius: int, wide: int):
+    """Of a partition of shards: edges (a, b) that connect its groups, and rows (a, null, links) that add up to each fingerprint's links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = gather(batches)
         if t is None:
             return
-        shard = t["shard"].to_numpy().astype(np.int64)
-        h = t["fp"].to_numpy().view(_U)
-        order = np.lexsort((h, shard))
-        shard, h = shard[order], h[order]
-        a, b = np.zeros(0, _U), np.zeros(0, _U)
+        shard, x, y = t["shard"].to_numpy(), t["x"].to_numpy().view(_U), t["y"].to_numpy().view(_U)
+        order = np.lexsort((x, shard))
+        shard, x, y = shard[order], x[order], y[order]
+        tail = shard & ((1 << _TAIL) - 1)
+        second = (tail & 1).astype(bool)
+        name = node_of(np.where(second, y, x), np.where(second, x, y))
+        # members with the same half are one node of the tree
+        new = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (x[1:] != x[:-1]))))
+        size = np.diff(np.append(new, len(x)))
+        counts = np.zeros(len(x), np.int64)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         weight = 0
-        for x, y in Forest(shard, h).pairs(radius):
-            held.append((h[x], h[y]))
-            weight += len(x)
-            if weight > 1 << 20:
-                a, b = spanning(np.concatenate([a, *(p for p, _ in held)]), np.concatenate([b, *(p for _, p in held)]))
-                held, weight = [], 0
-        a, b = spanning(np.concatenate([a, *(p for p, _ in held)]), np.concatenate([b, *(p for _, p in held)]))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        def nodes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            several = np.flatnonzero(size > 1)
+            yield several, several
+            yield from Forest(shard[new], x[new]).pairs(radius)
+
+        for p, q in nodes():
+            for i, j in _members(p, q, size):
+                ok = (i < j) & (np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= wide)
+                i, j = i[ok], j[ok]
+                held.append((name[i], name[j]))
+                weight += len(i)
+                # a link counts where it is found first: in the first half that is near, and in the first mask that agrees
+                first = np.argmax(((x[i] ^ x[j])[:, None] & masks[None, :]) == 0, axis=1) if len(i) else np.zeros(0, np.int64)
+                ok = (first == tail[i] >> 1) & ~(second[i] & (np.bitwise_count(y[i] ^ y[j]) <= radius))
+                counts += np.bincount(i[ok], minlength=len(x)) + np.bincount(j[ok], minlength=len(x))
+                if weight > 1 << 20:
+                    a, b = spanning(np.concatenate([a, *(u for u, _ in held)]), np.concatenate([b, *(v for _, v in held)]))
+                    held, weight = [], 0
+        a, b = spanning(np.concatenate([a, *(u for u, _ in held)]), np.concatenate([b, *(v for _, v in held)]))
+        some = np.flatnonzero(counts)
+        if len(a) or len(some):
+            k = len(a)
+            left = pa.array(np.concatenate((a, name[some])))
+            right = pa.array(np.concatenate((b, np.zeros(len(some), np.int64))), mask=np.arange(k + len(some)) >= k)
+            yield pa.RecordBatch.from_arrays([left, right, pa.array(np.concatenate((np.zeros(k, np.int64), counts[some])))], ["a", "b", "links"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Group documents whose SimHash fingerprints are linked within the radius.
-
-    Returns one row per row of docs: doc_id, fingerprint, group_id (least
-    doc_id of the group) and kept (true for one row of each group).
-
-    The fingerprint has 64 bits, from the set of folded words of the whole
-    text.  Each distinct fingerprint goes to the shards of every choice of
-    blocks - radius out of ``blocks`` bit blocks; two fingerprints within the
-    radius share a shard by the pigeonhole principle, so the search is exact.
-    A shard's fingerprints form a BK-tree, and each of them is searched for
-    in it, following the edges from d - radius to d + radius.  The trees stay
-    where their shard is (a broadcast of all trees would grow with the
-    corpus).  Equal fingerprints are joined before, and a shard passes on
-    only edges that connect its groups, so large groups cost no more than
-    linear traffic.
-
-    Null text, empty text and text without words: fingerprint null, a group
-    of its own, kept.  Null doc_id: likewise, group_id null.  Rows that repeat
-    a doc_id: one of each group_id is kept, the one with a fingerprint and the
-    least one first.
-    Other columns of docs are never read, whatever their names.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide: int = WIDE, blocks: int | None = None) -> DataFrame:
+    """Group documents whose SimHash fingerprints are linked.
+
+    Returns one row per row of docs: doc_id, group_id (least doc_id of the
+    group), kept (true for one row of each group), links (how many other
+    fingerprints this one is linked to) and fingerprint (32 hex digits).
+
+    A fingerprint has two halves of 64 bits, from the set of folded words of
+    the whole text.  Two are linked if one of their halves is within the
+    radius, and both together within ``wide`` bits: two chances to be found,
+    and chance neighbours don't pass.  Each distinct fingerprint goes, by each
+    half, to the shards of every choice of blocks - radius out of ``blocks``
+    bit blocks; halves within the radius share a shard by the pigeonhole
+    principle, so the search is exact.  The number of blocks follows the
+    number of fingerprints, which changes the size of shards and nothing else.
+    A shard's halves form a BK-tree, and each of them is searched for in it,
+    following the edges from d - radius to d + radius.  The trees stay where
+    their shard is (a broadcast of all trees would grow with the corpus).
+    Equal fingerprints are joined before, and a shard passes on only edges
+    that connect its groups and sums of links, so large groups cost no more
+    than linear traffic.
+
+    Null text, empty text and text without words: fingerprint null, no links,
+    a group of its own, kept.  Null doc_id: likewise, group_id null.  Rows
+    that repeat a doc_id: one of each group_id is kept, the one with a
+    fingerprint and the least one first.  Texts of any length are read in
+    full, in pieces.  An empty table gives no rows.  Other columns of docs are
+    never read, whatever their names.
     """
-    return _groups(docs, id_col, text_col, radius, blocks).drop("h")
+    return _groups(docs, id_col, text_col, radius, wide, blocks).select("doc_id", "group_id", "kept", "links", F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in ("one", "two")]).alias("fingerprint"))
 
 
 def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, blocks: int = BLOCKS) -> DataFrame:
-    """near_duplicates with a hash h of each row's text."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, wide: int = WIDE, blocks: int | None = None) -> DataFrame:
+    """near_duplicates with the fingerprint's halves, and a hash h of each row's text."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("h"))
 
-    def prints(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp, n = fingerprints(b.column("text"))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64), mask=n == 0), b.column("h")], ["doc_id", "fingerprint", "h"])
-
-    fps = cut(map_arrow(src, prints, "doc_id long, fingerprint long, h long"), "simhash")
-    real = fps.where("doc_id is not null and fingerprint is not null")
-    distinct = cut(real.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    masks = np.array(_masks(radius, max(blocks, radius + 1)), dtype=_U)
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows are numbered once, in the table that is written
+        row = TaskContext.get().partitionId() << 36
+        for b in batches:
+            one, two, n = fingerprints(b.column("text"))
+            none = n == 0
+            numbers = np.arange(row, row + b.num_rows)
+            row += b.num_rows
+            cols = [pa.array(x, mask=none) for x in (one.view(np.int64), two.view(np.int64), node_of(one, two))]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), b.column("doc_id"), *cols, b.column("h")], ["row", "doc_id", "one", "two", "node", "h"])
+
+    fps = cut(src.mapInArrow(prints, "row long, doc_id long, one long, two long, node long, h long"), "simhash")
+    real = fps.where("doc_id is not null and node is not null")
+    distinct = cut(real.groupBy("one", "two", "node").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    count = distinct.count()
+    masks = masks_of(radius, blocks or blocks_for(count, radius))
 
     def shards(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = b.column("fp").to_numpy().view(_U)
-        key = K.mix((fp[:, None] & masks[None, :]) + (np.arange(len(masks), dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
-        return pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(masks)).view(np.int64))], ["shard", "fp"])
-
-    keyed = map_arrow(distinct.select(F.col("fingerprint").alias("fp")), shards, "shard long, fp long")
-    edges = keyed.repartition("shard").mapInArrow(_edges_of(radius), "a long, b long")
-    roots = components(edges, "simhash-edges")
-    rep = (
-        distinct.join(roots, distinct.fingerprint == roots.node, "left")
-        .select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    )
+        halves = [b.column(c).to_numpy().view(_U) for c in ("one", "two")]
+        which = np.arange(len(masks), dtype=_U) * _U(2)
+        keys = []
+        for side, h in enumerate(halves):
+            tail = which + _U(side)
+            keys.append((K.mix((h[:, None] & masks[None, :]) + (tail + _U(1)) * _U(0x9E3779B97F4A7C15)) & ~_U((1 << _TAIL) - 1)) | tail)
+        x = np.concatenate([np.repeat(h, len(masks)) for h in halves])
+        y = np.concatenate([np.repeat(h, len(masks)) for h in halves[::-1]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k.ravel() for k in keys]).view(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["shard", "x", "y"])
+
+    keyed = map_arrow(distinct.select("one", "two"), shards, "shard long, x long, y long")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-count * len(masks) * 2 // TASK_ROWS))
+    found = cut(keyed.repartition(tasks, "shard").mapInArrow(_links(masks, radius, wide), "a long, b long, links long"), "simhash-links")
+    roots = components(found.where("b is not null").select("a", "b"), "simhash-edges")
+    times = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
+    rep = distinct.join(roots, distinct.node == roots.node, "left").select(distinct.node, "first", F.coalesce("root", distinct.node).alias("root"))
     lead = rep.groupBy("root").agg(F.min("first").alias("lead"))
-    named = rep.join(lead, "root").select(F.col("fingerprint").alias("f"), "lead")
-    out = fps.join(named, fps.fingerprint == named.f, "left")
+    named = rep.join(lead, "root").select(F.col("node").alias("f"), "lead").join(times, F.col("f") == F.col("a"), "left").select("f", "lead", "links")
+    out = fps.join(named, fps.node == named.f, "left")
     group = F.when(F.col("doc_id").isNull(), None).when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("lead"))
-    nth = F.row_number().over(Window.partitionBy("group_id").orderBy("doc_id", F.col("fingerprint").asc_nulls_last(), "h"))
-    return out.select("doc_id", "fingerprint", "h", group.alias("group_id")).select(
-        "doc_id", "fingerprint", "h", "group_id", (F.col("doc_id").isNull() | (nth == 1)).alias("kept")
-    )
+    out = out.select("row", "doc_id", "one", "two", "h", group.alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    out = cut(out, "simhash-named")
+    # the least row of each group, looked up by its number, so that no group meets in one task
+    order = F.struct("doc_id", F.col("one").isNull().alias("none"), "one", "two", "h", "row")
+    best = out.where("group_id is not null").groupBy("group_id").agg(F.min(order).alias("m")).select(F.col("m.row").alias("best"))
+    return out.join(best, out.row == best.best, "left").select("doc_id", "one", "two", "h", "group_id", "links", (F.col("doc_id").isNull() | F.col("best").isNotNull()).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide: int = WIDE) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
-    found = cut(_groups(docs, id_col, text_col, radius), "simhash-groups")
+    found = cut(_groups(docs, id_col, text_col, radius, wide), "simhash-groups")
     gone = found.where("doc_id is not null").groupBy("doc_id", "h").agg(F.max("kept").alias("k"), F.count("*").alias("n"))
-    lost = gone.where(~F.col("k")).select(F.col("doc_id").alias("__lost_id"), F.col("h").alias("__lost_h"))
-    out = docs.join(lost, (F.col(id_col) == F.col("__lost_id")) & (_text_hash(text_col) == F.col("__lost_h")), "left_anti").select(docs.columns)
+    mark = uuid.uuid4().hex
+    lost = gone.where(~F.col("k")).select(F.col("doc_id").alias("i" + mark), F.col("h").alias("h" + mark))
+    out = docs.join(lost, (F.col(id_col) == F.col("i" + mark)) & (_text_hash(text_col) == F.col("h" + mark)), "left_anti").select(docs.columns)
     if gone.where("k and n > 1").isEmpty():
         return out
     nth = F.row_number().over(Window.partitionBy(id_col, _text_hash(text_col)).orderBy(F.lit(0)))
-    name = "n" + uuid.uuid4().hex
+    name = "n" + mark
     return out.withColumn(name, nth).where(F.col(id_col).isNull() | (F.col(name) == 1)).drop(name)

@@ -76,6 +76,31 @@ def slices(offs: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, in
         lo = hi
 
 
+def pieces(buf: np.ndarray, offs: np.ndarray, member: np.ndarray, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes in pieces of at most ``limit``, each with offsets of all rows within it.
+
+    A piece ends behind a byte that is no member, so that no run of members is
+    cut; a run that is longer than the limit stays whole.
+    """
+    limit = limit or 4 * SLICE_BYTES
+    n, at = len(buf), 0
+    if n <= limit:
+        yield buf, offs
+        return
+    while at < n:
+        end = min(n, at + limit)
+        if end < n:
+            gaps = np.flatnonzero(~member[buf[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                while end < n and member[buf[end : end + limit]].all():
+                    end = min(n, end + limit)
+                end = min(n, end + (int(np.argmin(member[buf[end : end + limit]])) + 1 if end < n else 0))
+        yield buf[at:end], np.clip(offs, at, end) - at
+        at = end
+
+
 def fold(buf: np.ndarray) -> np.ndarray:
     """Lower case for ASCII and Latin-1 letters in UTF-8 bytes."""
     out = buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
