@@ -17,7 +17,7 @@ from . import textkernel as K
 from .common import components, cut, gather, map_arrow
 
 #: Bits that one half of two linked fingerprints may differ in, and bits that both halves may.
-RADIUS, WIDE = 8, 28
+RADIUS, WIDE = 8, 22
 #: Blocks of a half; more of them make smaller shards, and more shards of each fingerprint.
 BLOCKS = 10
 #: Fingerprints that a shard should have at most on average, and rows of shards that a task takes.
