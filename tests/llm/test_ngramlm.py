@@ -2,9 +2,11 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayframe.llm import ngramlm as N
+from wayframe.llm import textkernel as K
 
 
 def rows_of(spark, sf):
@@ -28,7 +30,7 @@ def brute(rows, level=N.level, count=N.count_of):
     for ws in tokens:
         lp = 0.0
         for a, b in zip([None] + ws, ws):
-            ratio = min(q(bi[a, b]) / q(uni[a]), 1.0)
+            ratio = min(max(q(bi[a, b]) - N.DISCOUNT, 0) / q(uni[a]), 1.0)
             lp += math.log(N.MIX * ratio + (1 - N.MIX) * min((q(uni[b]) + 1) / (total + 1), 1.0))
         out.append((len(ws), lp))
     return out
@@ -48,8 +50,8 @@ def test_close_to_exact_counts(spark, sf):
     tokens = sum(x[1] for x in a)
     assert abs(sum(x[2] for x in a) - sum(y[2] for y in b)) / tokens < 0.03
     assert all((r.perplexity is None) == (r.tokens == 0) for r in got)
-    # passes over parts of the filter give the same scores
-    parts = N.score(d, broadcast_bytes=40_000).collect()
+    # n-grams that travel to the parts of the filter get the same scores
+    parts = N.score(d, broadcast_bytes=0).collect()
     b = sorted((-1 if r.doc_id is None else r.doc_id, r.tokens, r.log_prob) for r in parts)
     assert [x[:2] for x in a] == [x[:2] for x in b] and [x[2] for x in a] == pytest.approx([x[2] for x in b])
 
@@ -58,13 +60,36 @@ def test_levels_come_back():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, 20000, dtype=np.uint64)
     counts = rng.geometric(0.3, 20000)
-    part = N.part_of(keys)
-    f = N.Filter.of((int(p), N.build_part(keys[part == p], counts[part == p]).tobytes()) for p in np.unique(part))
+    part = N.part_of(keys, 8)
+    f = N.Filter(*N.joined(((int(p), N.build_part(keys[part == p], counts[part == p]).tobytes()) for p in np.unique(part)), 8))
     got, want = f.levels(keys).astype(int), N.level(counts)
-    assert (got >= want).all() and (got == want).mean() > 0.93
+    assert (got >= want).all() and (got == want).mean() > 0.97
     other = f.levels(rng.integers(0, 1 << 63, 20000, dtype=np.uint64))
-    assert (other > 0).mean() < 0.06
-    assert [int(x) for x in N.level(np.array([1, 2, 3, 4]))] == [1, 2, 3, 4] and N.count_of(np.array([0]))[0] == 0
+    assert (other > 0).mean() < 0.02
+    assert [int(x) for x in N.level(np.array([1, 2, 3, 4]))] == [0, 1, 2, 3] and N.count_of(np.array([0, 1, 2])).tolist() == [1, 2, 3]
+
+
+def test_a_text_in_pieces_has_the_same_ngrams(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = pa.array(["one two", " ".join(f"w{x}" for x in rng.integers(0, 90, 4000)), "", "x" * 3000 + " y"])
+    buf, offs = K.raw(texts)
+
+    def found():
+        got = [(np.asarray(row) + lo, u, b, p) for lo, _, row, u, b, p in N.all_ngrams(buf, offs)]
+        return [np.concatenate(x).tolist() for x in zip(*got)]
+
+    whole = found()
+    monkeypatch.setattr(K, "SLICE_BYTES", 100)
+    assert found() == whole
+
+
+def test_a_text_that_occurs_twice_stands_out(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 200) % 5000) for _ in range(120)]
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i]) for i in range(20)]
+    got = {r.doc_id: r.perplexity for r in N.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == got[1000 + i] for i in range(20))
+    assert np.quantile([got[i] for i in range(20)], 0.9) < np.quantile([got[i] for i in range(20, 120)], 0.1)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):

@@ -4,6 +4,8 @@ Counts of unigrams and bigrams over the whole corpus are quantised on a
 logarithmic scale, and an n-gram of level q is put into the filter q times,
 with the level number as part of the key.  Probing levels 1, 2, ... until one
 is missing gives the level back; it can only be too high, and rarely is.
+Level 0 is a count of one: whatever is scored has been counted, so an n-gram
+that isn't in the filter at all occurs once, and needs no place in it.
 """
 
 from __future__ import annotations
@@ -17,19 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import cut, map_arrow
+from .common import cut, gather, map_arrow
 
-#: A count c has level 1 + floor(log_BASE c).
+#: A count c has level floor(log_BASE c).
 BASE = 1.5
-#: Filter bits per entry, probes per entry: one in 28 that was never put in seems to be there.
-BITS, PROBES = 7, 4
+#: Filter bits per entry, probes per entry: one in 100 that was never put in seems to be there.
+BITS, PROBES = 10, 5
 #: Weight of the bigram estimate; the rest is the unigram's.
 MIX = 0.7
-#: The filter is made of so many parts of their own; an n-gram's probes all lie in one.
-PARTS = 1024
+#: What is taken off a bigram's count, so that what was seen once proves little.
+DISCOUNT = 0.9
+#: The filter is made of parts of their own, one for so many bytes of text; an n-gram's probes all lie in one.
+PART_BYTES = 8 << 20
 #: Keys that a worker sorts at a time while it counts.
 COMBINE_KEYS = 2_000_000
-#: Most bytes of filter that are broadcast at once; a larger filter takes more passes over the documents.
+#: Bytes of text whose n-grams are looked up together.
+LOOKUP_BYTES = 4 << 20
+#: A filter of at most so many bytes is broadcast; n-grams travel to the parts of a larger one.
 BROADCAST_BYTES = 96 << 20
 
 _U = np.uint64
@@ -49,106 +55,136 @@ def ngrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return uni, K.mix(before * _G + uni + _U(2)), row
 
 
-def _distinct(keys: list[np.ndarray]) -> pa.RecordBatch:
+def all_ngrams(buf: np.ndarray, offs: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, next row, rows, and keys of tokens, bigrams and the tokens before (0 for the start mark), slice by slice.
+
+    A text beyond a slice comes in pieces, each of which knows the token that went before.
+    """
+    for lo, hi in K.slices(offs, limit):
+        last = None
+        for part, o in K.pieces(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], ~K.BLANK):
+            uni, bi, row = ngrams(part, o)
+            prev = np.zeros_like(uni)
+            if len(uni):
+                prev[1:] = np.where(row[1:] == row[:-1], uni[:-1], _U(0))
+                if last is not None and last[0] == row[0]:
+                    prev[0] = last[1]
+                    bi[0] = K.mix(prev[:1] * _G + uni[:1] + _U(2))[0]
+                last = (row[-1], uni[-1])
+                yield lo, hi, row, uni, bi, prev
+
+
+def _distinct(keys: list[np.ndarray], parts: int) -> pa.RecordBatch:
     x = np.concatenate(keys)
     x.sort()
     at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
     g, c = x[at], np.diff(np.append(at, len(x)))
-    return pa.RecordBatch.from_arrays([pa.array(part_of(g).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int32))], ["part", "g", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(part_of(g, parts).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int32))], ["part", "g", "c"])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(parts: int):
     """(part, n-gram, count), counts added up over so many keys as keep a worker small."""
-    keys: list[np.ndarray] = []
-    n = 0
-    for b in batches:
-        buf, offs = K.raw(b.column("text"))
-        for lo, hi in K.slices(offs):
-            uni, bi, row = ngrams(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            # the start mark counts once for each document that has tokens
-            keys += [uni, bi, np.zeros(len(np.unique(row)), _U)]
-            n += 2 * len(uni)
-            if n >= COMBINE_KEYS:
-                yield _distinct(keys)
-                keys, n = [], 0
-    if n:
-        yield _distinct(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        n = 0
+        for b in batches:
+            buf, offs = K.raw(b.column("text"))
+            for *_, uni, bi, prev in all_ngrams(buf, offs):
+                # the start mark counts once for each document that has tokens
+                keys += [uni, bi, prev[prev == 0]]
+                n += 2 * len(uni)
+                if n >= COMBINE_KEYS:
+                    yield _distinct(keys, parts)
+                    keys, n = [], 0
+        if n:
+            yield _distinct(keys, parts)
+
+    return run
 
 
 def level(count: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(np.maximum(count, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
+    return np.floor(np.log(np.maximum(count, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level; 0 for level 0."""
+    """The middle of the counts of a level."""
     q = levels.astype(float)
-    low, high = np.ceil(BASE ** (q - 1) - 1e-9), np.maximum(np.ceil(BASE**q - 1e-9) - 1, 1)
-    return np.where(levels > 0, (low + np.maximum(high, low)) / 2, 0.0)
+    low, high = np.ceil(BASE**q - 1e-9), np.maximum(np.ceil(BASE ** (q + 1) - 1e-9) - 1, 1)
+    return (low + np.maximum(high, low)) / 2
 
 
-def part_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> _U(48)).astype(np.int64) % PARTS
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> _U(32)) % _U(parts)).astype(np.int64)
 
 
-def _probe(keys: np.ndarray, q: int, bits: int) -> list[np.ndarray]:
+def _probe(keys: np.ndarray, q: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """Bit places of the probes of level q."""
     h = K.mix(keys + K.salt(q))
     step = K.mix(h + _G) | _U(1)
-    return [((h + _U(i) * step) >> _U(8)) % _U(bits) for i in range(PROBES)]
+    for i in range(PROBES):
+        yield ((h + _U(i) * step) >> _U(8)) % (bits if isinstance(bits, np.ndarray) else _U(bits))
 
 
 def build_part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Bits of one part of the filter, as bytes."""
     q = level(counts)
     bits = max(64, int(q.sum()) * BITS)
-    out = np.zeros((bits + 7) // 8, np.uint8)
+    out = np.zeros(bits, bool)
     for j in range(1, int(q.max(initial=0)) + 1):
         for at in _probe(keys[q >= j], j, bits):
-            np.bitwise_or.at(out, (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8))
-    return np.concatenate((np.frombuffer(np.int64(bits).tobytes(), np.uint8), out))
-
-
-def build(docs: DataFrame, text_col: str = "text") -> DataFrame:
+            out[at.astype(np.int64)] = True
+    return np.concatenate((np.frombuffer(np.int64(bits).tobytes(), np.uint8), np.packbits(out, bitorder="little")))
+
+
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of the filter whose n-grams came to this task."""
+    t = gather(batches)
+    if t is None:
+        return
+    part, g, c = t["part"].to_numpy(), t["g"].to_numpy().view(_U), t["c"].to_numpy()
+    del t
+    for p in np.unique(part):
+        here = part == p
+        x = g[here]
+        order = np.argsort(x)
+        x = x[order]
+        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        n = np.add.reduceat(c[here][order].astype(np.int64), at)
+        x = x[at]
+        bits = build_part(x, n)
+        cols = [pa.array([int(p)], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([int(n.sum())]), pa.array([int(n[x == 0].sum())])]
+        yield pa.RecordBatch.from_arrays(cols, ["part", "bits", "entries", "starts"])
+
+
+def build(docs: DataFrame, parts: int, text_col: str = "text") -> DataFrame:
     """The filter, one row (part, bits, entries, starts) for each part that has n-grams.
 
-    entries is the sum of the counts, starts that of the start mark.
+    entries is the sum of the counts, starts that of the start mark.  What a
+    task holds is one part or a few, and parts are made in proportion to the
+    text, so it doesn't grow.
     """
     src = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-    def one(key: tuple, t: pa.Table) -> pa.Table:
-        g, at = np.unique(t["g"].to_numpy().view(_U), return_inverse=True)
-        c = np.bincount(at, t["c"].to_numpy(), len(g)).astype(np.int64)
-        bits = build_part(g, c)
-        row = {"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())}
-        return pa.table(row | {"entries": pa.array([int(c.sum())]), "starts": pa.array([int(c[g == 0].sum())])})
-
-    c = src.mapInArrow(_counts, "part int, g long, c int").repartition("part")
-    return c.groupBy("part").applyInArrow(one, "part int, bits binary, entries long, starts long")
+    counted = src.mapInArrow(_counts(parts), "part int, g long, c int").repartitionById(parts, F.col("part"))
+    return counted.mapInArrow(_parts_of, "part int, bits binary, entries long, starts long")
 
 
 class Filter:
-    """Parts of the filter that one pass has at hand: one run of bytes, where each part begins, and its bits."""
+    """Parts of the filter at hand: one run of bytes, where each part begins, and its bits."""
 
     def __init__(self, data: bytes, at: np.ndarray, size: np.ndarray):
         self.data, self.at, self.size = np.frombuffer(data, np.uint8), at, size
 
-    @classmethod
-    def of(cls, parts: Iterable[tuple[int, bytes]]) -> "Filter":
-        return cls(*joined(parts))
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key by repeated probes; 0 if it was never seen or belongs to other parts."""
+        """Level of each key by repeated probes."""
         out = np.zeros(len(keys), np.uint8)
-        part = part_of(keys)
+        part = part_of(keys, len(self.size))
         live = np.flatnonzero(self.size[part] > 0)
         q = 1
         while len(live):
             p = part[live]
-            h = K.mix(keys[live] + K.salt(q))
-            step = K.mix(h + _G) | _U(1)
             ok = np.ones(len(live), bool)
-            for i in range(PROBES):
-                bit = ((h + _U(i) * step) >> _U(8)) % self.size[p].astype(_U)
+            for bit in _probe(keys[live], q, self.size[p].astype(_U)):
                 ok &= (self.data[self.at[p] + (bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 > 0
             live = live[ok]
             out[live] = q
@@ -156,8 +192,8 @@ class Filter:
         return out
 
 
-def joined(parts: Iterable[tuple[int, bytes]]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    at, size, data = np.zeros(PARTS, np.int64), np.zeros(PARTS, np.int64), bytearray()
+def joined(parts: Iterable[tuple[int, bytes]], n: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    at, size, data = np.zeros(n, np.int64), np.zeros(n, np.int64), bytearray()
     for p, raw in parts:
         size[p] = int(np.frombuffer(raw, np.int64, 1)[0])
         at[p] = len(data)
@@ -166,113 +202,100 @@ def joined(parts: Iterable[tuple[int, bytes]]) -> tuple[bytes, np.ndarray, np.nd
 
 
 def log_probability(uni: np.ndarray, bi: np.ndarray, before: np.ndarray, total: float) -> np.ndarray:
-    """Natural log of MIX * c(w' w) / c(w') + (1 - MIX) * (c(w) + 1) / (total + 1), from levels."""
+    """Natural log of MIX * max(c(w' w) - DISCOUNT, 0) / c(w') + (1 - MIX) * (c(w) + 1) / (total + 1), from levels."""
     c, cb, cw = count_of(uni), count_of(bi), count_of(before)
-    ratio = np.minimum(np.where(cw > 0, cb / np.maximum(cw, 1), 0.0), 1.0)
+    ratio = np.minimum(np.maximum(cb - DISCOUNT, 0) / cw, 1.0)
     return np.log(MIX * ratio + (1 - MIX) * np.minimum((c + 1) / (total + 1), 1.0))
 
 
-def _levels_of(b: pa.RecordBatch, f: Filter):
-    """For each slice of a batch: first row, token rows, and levels of tokens, bigrams and the tokens before."""
-    buf, offs = K.raw(b.column("text"))
-    zero = int(f.levels(np.zeros(1, _U))[0])
-    for lo, hi in K.slices(offs):
-        uni, bi, row = ngrams(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        u = f.levels(uni)
-        prev = np.full(len(u), zero, np.uint8)
-        if len(u):
-            same = row[1:] == row[:-1]
-            prev[1:][same] = u[:-1][same]
-        yield lo, hi, row, u, f.levels(bi), prev
+def _scores(texts: pa.Array, levels, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and log probability of each text; levels gives those of distinct keys."""
+    buf, offs = K.raw(texts)
+    n, s = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    for lo, hi, row, uni, bi, prev in all_ngrams(buf, offs, LOOKUP_BYTES):
+        words, at = np.unique(np.concatenate((uni, prev)), return_inverse=True)
+        u = levels(words)[at]
+        both, at = np.unique(bi, return_inverse=True)
+        n[lo:hi] += np.bincount(row, minlength=hi - lo)
+        s[lo:hi] += np.bincount(row, log_probability(u[: len(uni)], levels(both)[at], u[len(uni) :], total), minlength=hi - lo)
+    return n, s
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, tokens, log_prob and perplexity of each row of docs, under the n-grams of all of docs.
 
-    Tokens are runs of anything but blanks and line ends, in lower case.  A
-    token's probability mixes the bigram's relative frequency with that of the
-    token, add-one smoothed; all counts come from the filter, so they are the
-    middles of their levels.
+    Tokens are runs of anything but blanks and line ends, with ASCII and
+    Latin-1 letters in lower case.  A token's probability mixes the bigram's
+    discounted relative frequency with that of the token, add-one smoothed; all
+    counts come from the filter, so they are the middles of their levels.
 
-    The filter grows with the corpus.  Up to broadcast_bytes it is broadcast
-    whole; beyond, parts of at most so much are broadcast one after the other,
-    each pass adding the levels it finds to a table in the shared folder.
+    The filter grows with the corpus.  Up to broadcast_bytes it is broadcast;
+    beyond, each block of documents sends its distinct n-grams to the tasks
+    that have their parts, and gets their levels back.  Both give the same
+    scores.
 
     Null and empty texts have 0 tokens, log_prob 0 and perplexity null.  Null
-    and repeated doc_ids are scored row by row.  Texts of any length count in
-    full.  Columns besides id and text are never read.
+    and repeated doc_ids are scored row by row, and rows of equal text get equal
+    scores.  Texts of any length count in full, in pieces.  An empty table
+    gives no rows.  Columns besides id and text are never read, whatever
+    their names.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    filt = cut(build(d), "lm-filter")
-    seen = filt.select("part", F.octet_length("bits").alias("n"), "entries", "starts").collect()
-    sizes = {r["part"]: r["n"] for r in seen}
+    size = d.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(8, -(-size // PART_BYTES))
+    filt = cut(build(d, parts), "lm-filter")
+    seen = filt.agg(F.coalesce(F.sum(F.octet_length("bits").cast("long")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("entries") - F.col("starts")), F.lit(0)).alias("entries")).first()
     # each token is one unigram and ends one bigram
-    total = sum(r["entries"] - r["starts"] for r in seen) / 2
-    groups: list[list[int]] = [[]]
-    room = broadcast_bytes
-    for p, n in sorted(sizes.items()):
-        if n > room and groups[-1]:
-            groups.append([])
-            room = broadcast_bytes
-        groups[-1].append(p)
-        room -= n
-
-    def load(parts: list[int]):
-        rows = filt.where(F.col("part").between(parts[0], parts[-1])).select("part", "bits").toLocalIterator() if parts else ()
-        return spark.sparkContext.broadcast(joined((r["part"], bytes(r["bits"])) for r in rows))
-
-    held: dict[int, Filter] = {}
-
-    def at_hand(sent) -> Filter:
-        if 0 not in held:
-            held[0] = Filter(*sent.value)
-        return held[0]
-
-    def finish(b: pa.RecordBatch, n: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    total = seen["entries"] / 2
+
+    def finish(ids: pa.Array, texts: pa.Array, levels) -> list[pa.Array]:
+        n, s = _scores(texts, levels, total)
         ppl = np.exp(-s / np.maximum(n, 1))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(s), pa.array(ppl, mask=n == 0)], ["doc_id", "tokens", "log_prob", "perplexity"])
+        return [ids, pa.array(n), pa.array(s), pa.array(ppl, mask=n == 0)]
 
+    names = ["doc_id", "tokens", "log_prob", "perplexity"]
     out_schema = "doc_id long, tokens long, log_prob double, perplexity double"
-    if len(groups) == 1:
-        sent = load(groups[0])
+    if seen["n"] <= broadcast_bytes:
+        rows = ((r["part"], bytes(r["bits"])) for r in filt.select("part", "bits").toLocalIterator())
+        sent = docs.sparkSession.sparkContext.broadcast(joined(rows, parts))
+        held: dict[int, Filter] = {}
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            f = at_hand(sent)
-            n, s = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for lo, hi, row, u, bi, prev in _levels_of(b, f):
-                n[lo:hi] = np.bincount(row, minlength=hi - lo)
-                s[lo:hi] = np.bincount(row, log_probability(u, bi, prev, total), minlength=hi - lo)
-            return finish(b, n, s)
+            if 0 not in held:
+                held[0] = Filter(*sent.value)
+            return pa.RecordBatch.from_arrays(finish(b.column("doc_id"), b.column("text"), held[0].levels), names)
 
         return map_arrow(d, run, out_schema)
 
-    wide = "doc_id long, text string, levels binary"
-    now = d.withColumn("levels", F.lit(None).cast("binary"))
-    for parts in groups:
-        sent = load(parts)
-        have: dict[int, Filter] = {}
-
-        def add(b: pa.RecordBatch, sent=sent, have=have) -> pa.RecordBatch:
-            if 0 not in have:
-                have[0] = Filter(*sent.value)
-            old, new = b.column("levels"), [None] * b.num_rows
-            for lo, hi, row, u, bi, prev in _levels_of(b, have[0]):
-                to = np.searchsorted(row, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    x = np.concatenate((u[to[i] : to[i + 1]], bi[to[i] : to[i + 1]], prev[to[i] : to[i + 1]]))
-                    was = old[lo + i].as_py()
-                    new[lo + i] = (x if was is None else np.maximum(x, np.frombuffer(was, np.uint8))).tobytes()
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(new, pa.binary())], ["doc_id", "text", "levels"])
-
-        now = cut(map_arrow(now, add, wide), "lm-levels")
-        sent.unpersist()
-
-    def end(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, s = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-        for i, raw in enumerate(b.column("levels")):
-            x = np.frombuffer(raw.as_py() or b"", np.uint8).reshape(3, -1)
-            n[i], s[i] = x.shape[1], log_probability(*x, total).sum()
-        return finish(b, n, s)
-
-    return map_arrow(now.select("doc_id", "levels"), end, out_schema)
+    blocks = -(-size // LOOKUP_BYTES)
+    blocked = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
+
+    def asked(b: pa.RecordBatch) -> pa.RecordBatch:
+        buf, offs = K.raw(b.column("text"))
+        block = b.column("block").to_numpy()
+        keys, to = [np.zeros(1, _U)[:0]], [np.zeros(0, np.int64)]
+        for lo, _, row, uni, bi, prev in all_ngrams(buf, offs):
+            both = np.stack((np.tile(block[lo + row], 2).view(_U), np.concatenate((uni, bi))))
+            start = np.stack((block[lo + row[prev == 0]].view(_U), prev[prev == 0]))
+            x = np.unique(np.concatenate((both, start), axis=1), axis=1)
+            to.append(x[0].view(np.int64))
+            keys.append(x[1])
+        k = np.concatenate(keys)
+        return pa.RecordBatch.from_arrays([pa.array(part_of(k, parts).astype(np.int32)), pa.array(np.concatenate(to)), pa.array(k.view(np.int64))], ["part", "block", "g"])
+
+    def answer(asks: pa.Table, part: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "level": pa.array([], pa.int32())})
+        f = Filter(*joined(((p, bits) for p, bits in zip(part["part"].to_pylist(), part["bits"].to_pylist())), parts))
+        return pa.table({"block": asks["block"], "g": asks["g"], "level": pa.array(f.levels(asks["g"].to_numpy().view(_U)).astype(np.int32))})
+
+    def end(texts: pa.Table, known: pa.Table) -> pa.Table:
+        g, q = known["g"].to_numpy().view(_U), known["level"].to_numpy()
+        order = np.argsort(g)
+        g, q = g[order], q[order]
+        got = finish(texts["doc_id"].combine_chunks(), texts["text"].combine_chunks(), lambda k: q[np.searchsorted(g, k)] if len(g) else np.zeros(len(k), np.int64))
+        return pa.table(dict(zip(names, got)))
+
+    asks = map_arrow(blocked, asked, "part int, block long, g long")
+    known = asks.groupBy("part").cogroup(filt.select("part", "bits").groupBy("part")).applyInArrow(answer, "block long, g long, level int")
+    return blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(end, out_schema)
