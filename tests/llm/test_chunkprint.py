@@ -69,7 +69,10 @@ def test_containment_matches_brute_force(spark):
 def test_odd_rows(spark, odd_docs, no_docs):
     got = {(r.doc_id, r.other_id) for r in C.containment(odd_docs).collect()}
     assert {(4, 5), (5, 4)} <= got and all(a != b and a is not None for a, b in got)
-    assert C.containment(no_docs).count() == 0
+    assert C.containment(no_docs).count() == 0 and C.links(no_docs).count() == 0
+    got = C.links(odd_docs).collect()
+    assert len(got) == odd_docs.where("doc_id is not null").count()
+    assert {(r.doc_id, r.copies, r.links, r.other_id) for r in got if r.doc_id in (2, 3, 4, 5)} == {(2, 0, 0, None), (3, 0, 0, None), (4, 0, 1, 5), (5, 0, 1, 4)}
 
 
 def test_finds_near_copies_with_scattered_edits(spark):
@@ -104,3 +107,31 @@ def test_every_row_has_its_partners(spark):
                 want[i, j] = max(want.get((i, j), 0), w(a & b) / w(a))
     got = {(r.doc_id, r.other_id): r.containment for r in C.partners(C.containment(spark.createDataFrame(rows, "doc_id long, text string"), 0.5)).collect()}
     assert (40, 43) in got and set(got) == set(want) and all(abs(got[p] - c) < 1e-12 for p, c in want.items())
+
+
+def test_links_match_brute_force(spark):
+    """Whatever counts as hot: every link of every row, copies and shared passages included."""
+    rng = random.Random(3)
+    ts = texts()
+    passage = [" ".join("".join(rng.choices("klmnopqr", k=rng.randint(2, 9))) for _ in range(60)) for _ in range(3)]
+    own = lambda n: " ".join("".join(rng.choices("stuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+    ts += [own(k) + " " + passage[i % 3] + (" " + passage[0] if i % 4 == 0 else "") for i, k in enumerate([3, 9, 40, 200, 5, 30] * 4)]
+    ts += [ts[40], ts[40], ts[41] + " and a little more"]
+    rows = list(enumerate(ts)) + [(5, ts[1]), (1000, "")]
+    sets = [(i, frozenset(code(t.encode()[a:b]) for a, b in brute_chunks(t))) for i, t in rows]
+    w = lambda s: sum(c & C.SIZE_MASK for c in s)
+    d = spark.createDataFrame(rows + [(None, ts[1])], "doc_id long, text string")
+    for t, hot in ((0.3, 50), (0.3, 1), (0.3, 3), (0.8, 3), (1.0, 2)):
+        want = []
+        for i, s in sets:
+            same = [j for j, x in sets if x == s] if s else []
+            held = [(w(s & x), j) for j, x in sets if s and x != s and w(s & x) >= t * w(s)]
+            want.append((i, min(same, default=None), max(len(same) - 1, 0), len(held), max(held)[0] / w(s) if held else None))
+        got = C.links(d, t, hot=hot).collect()
+        key = lambda r: (r[0], -1 if r[1] is None else r[1])
+        assert [tuple(r)[:4] + (r.containment,) for r in sorted(got, key=key)] == sorted(want, key=key), (t, hot)
+        leads = {i: s for i, s in sets}
+        for r in got:
+            if r.other_id is not None and r.doc_id != 5 and r.other_id != 5:
+                assert w(leads[r.doc_id] & leads[r.other_id]) / w(leads[r.doc_id]) == r.containment
+    assert sum(r[3] for r in want)

@@ -15,6 +15,8 @@ LEAST, USUAL, MOST = 32, 32, 128
 #: Bits that must be zero before the usual length is reached, and beyond it.
 STRICT_BITS, LOOSE_BITS = 4, 4
 THRESHOLD = 0.3
+#: Chunks that more classes have are compared by profile.
+HOT = 50
 _WINDOW = 32
 SIZE_MASK = 2047
 
@@ -183,3 +185,100 @@ def partners(found: DataFrame) -> DataFrame:
     every = across.unionByName(own).join(a, "class_id").join(b, "other_class").where("doc_id <> other_id")
     most = F.max(F.struct("containment", "shared")).alias("m")
     return every.groupBy("doc_id", "other_id").agg(most).select("doc_id", "other_id", "m.shared", "m.containment")
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """A row for each row of docs: doc_id, class_id, copies, links, other_id and containment.
+
+    Rows with equal chunk sets form a class, named by its least doc_id; copies
+    is the number of its other rows.  links is how many rows of other classes
+    hold the threshold or more of the document's weight (the bytes of its
+    distinct chunks), other_id leads a class that holds the most of it, and
+    containment is that share; both are null without links.  Every link
+    between different texts counts, and none is a row of its own, so the
+    result is as long as docs.
+
+    Chunks that the same classes have count as one unit.  Pairs are made of
+    the units that ``hot`` classes or fewer have, at most hot squared for each.
+    What a class has of the others, its profile, is compared once with every
+    profile that shares one of them, however many classes have it: classes
+    with no rarer unit in common have those bytes in common that their
+    profiles have.  hot changes the work, not the result.
+
+    Null and empty texts have no chunks: class_id null, no copies and no
+    links.  Rows with a null doc_id are left out.  Rows that repeat a doc_id
+    are documents of their own; with different texts they may lead two
+    classes.  Texts of any length are read in full.  An empty table gives no
+    rows.  Other columns are never read, whatever their names.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+
+    def prints(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and weight of each row."""
+        k = K.sequence_hashes(K.mix(codes.view(np.uint64)), offs[:-1], offs[1:]).view(np.int64)
+        return k, K.segment_sum(codes & SIZE_MASK, offs)
+
+    def heads(b: pa.RecordBatch) -> pa.RecordBatch:
+        offs, codes = fingerprint(b.column("text"))
+        k, w = prints(codes, offs)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k, mask=w == 0), pa.array(w)], ["doc_id", "k", "w"])
+
+    def postings(b: pa.RecordBatch) -> pa.RecordBatch:
+        offs, codes = fingerprint(b.column("text"))
+        k, _ = prints(codes, offs)
+        _, first = np.unique(k, return_index=True)
+        own = np.zeros(len(k), bool)
+        own[first] = True
+        n = np.diff(offs)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n)[np.repeat(own, n)]), pa.array(codes[np.repeat(own, n)])], ["k", "code"])
+
+    # chunks are cut twice, which is less than to keep them all on disk
+    rows = cut(map_arrow(src, heads, "doc_id long, k long, w long"), "chunk-rows")
+    classes = cut(rows.where("k is not null").groupBy("k").agg(F.max("w").alias("w"), F.count("*").alias("n"), F.min("doc_id").alias("lead")), "chunk-classes")
+    flat = map_arrow(src, postings, "k long, code long").repartition("code").dropDuplicates(["code", "k"])
+    # both uses of flat read the same shuffled rows
+    codes = flat.groupBy("code").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).where("df > 1")
+    known = codes.select("code", "df", F.xxhash64("df", "x", "y").alias("u"))
+    units = flat.join(known, "code").groupBy("k", "u", "df").agg(F.sum(F.col("code").bitwiseAND(SIZE_MASK)).alias("wt"))
+    units = cut(units, "chunk-units")
+
+    profile = F.array_sort(F.collect_list(F.when(F.col("df") > hot, F.struct("u", "wt"))))
+    held = units.groupBy("k").agg(profile.alias("hot"), F.sum("wt").alias("common")).join(classes, "k")
+    size = F.aggregate("hot", F.lit(0).cast("long"), lambda a, x: a + x["wt"])
+    held = cut(held.select("k", "w", "n", "hot", size.alias("size"), F.when(F.size("hot") > 0, F.xxhash64("hot")).alias("g"), (F.col("common") >= F.col("w") * threshold).alias("ask")), "chunk-profiles")
+
+    # pairs by rarer units
+    who = units.where(F.col("df") <= hot).join(held.select("k", "ask"), "k").groupBy("u").agg(F.first("wt").alias("wt"), F.collect_list(F.struct("k", "ask")).alias("who"))
+    who = who.select("wt", "who", F.explode(F.filter("who", lambda x: x["ask"])).alias("a")).select("wt", F.col("a.k").alias("a"), F.explode("who.k").alias("b")).where("a <> b")
+    pairs = who.groupBy("a", "b").agg(F.sum("wt").alias("rare"))
+    left = held.select(F.col("k").alias("a"), "w", F.col("hot").alias("ha"), F.col("g").alias("ga"), F.col("size").alias("sa"))
+    right = held.select(F.col("k").alias("b"), "n", F.col("hot").alias("hb"), F.col("g").alias("gb"))
+    both = F.aggregate(F.array_intersect("ha", "hb"), F.lit(0).cast("long"), lambda a, x: a + x["wt"])
+    both = F.when(F.col("ga").isNull() | F.col("gb").isNull(), F.lit(0).cast("long")).when(F.col("ga") == F.col("gb"), F.col("sa")).otherwise(both)
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "w", "n", "rare", both.alias("both")).where(F.col("rare") + F.col("both") >= F.col("w") * threshold)
+    more = F.sum(F.when(F.col("both") < F.col("w") * threshold, F.col("n")).otherwise(0))
+    near = near.groupBy("a").agg(more.alias("rare_links"), F.max(F.struct((F.col("rare") + F.col("both")).alias("shared"), F.col("b").alias("k"))).alias("rare_best"))
+
+    # pairs of profiles
+    groups = cut(held.where("g is not null").groupBy("g", "hot", "size").agg(F.sum("n").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("w").alias("least"), F.max("ask").alias("ask")), "chunk-groups")
+    each = groups.select("g", F.explode("hot").alias("x"))
+    asking = groups.where(F.col("ask") & (F.col("size") >= F.col("least") * threshold)).select(F.col("g").alias("a"), "least", F.explode("hot").alias("x"))
+    met = asking.select("a", "least", "x.u", "x.wt").join(each.select(F.col("g").alias("b"), "x.u"), "u").groupBy("a", "b", "least").agg(F.sum("wt").alias("both")).where(F.col("both") >= F.col("least") * threshold)
+    met = met.join(groups.select(F.col("g").alias("b"), "n", "lo", "hi"), "b").groupBy("a", "both").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # a row for each number of shared bytes at most
+    met = met.groupBy("a").agg(F.collect_list(F.struct("both", "n", "lo", "hi")).alias("met"))
+
+    out = held.where("ask").join(met, F.col("g") == F.col("a"), "left").drop("a").join(near, F.col("k") == F.col("a"), "left")
+    enough = F.filter(F.coalesce("met", F.expr("cast(array() as array<struct<both:bigint,n:bigint,lo:bigint,hi:bigint>>)")), lambda x: x["both"] >= F.col("w") * threshold)
+    counted = F.aggregate(enough, F.lit(0).cast("long"), lambda a, x: a + x["n"]) - F.when((F.size("hot") > 0) & (F.col("size") >= F.col("w") * threshold), F.col("n")).otherwise(0)
+    other = F.transform(enough, lambda x: F.struct(x["both"].alias("shared"), F.when(x["hi"] != F.col("k"), x["hi"]).when(x["lo"] != F.col("k"), x["lo"]).alias("k")))
+    best = F.array_max(F.concat(F.filter(other, lambda x: x["k"].isNotNull()), F.array_compact(F.array("rare_best"))))
+    out = out.select("k", (counted + F.coalesce("rare_links", F.lit(0))).alias("links"), best.alias("best"))
+    leads = classes.select(F.col("k").alias("best_k"), F.col("lead").alias("other_id"))
+    out = out.withColumn("best_k", F.col("best.k")).join(leads, "best_k", "left").select(F.col("k").alias("o"), "links", "other_id", F.col("best.shared").alias("shared"))
+    named = classes.join(out, F.col("k") == F.col("o"), "left").select(F.col("k").alias("c"), F.col("lead").alias("class_id"), (F.col("n") - 1).alias("copies"), "links", "other_id", (F.col("shared") / F.col("w")).alias("containment"))
+    found = rows.join(named, F.col("k") == F.col("c"), "left")
+    none = F.lit(0).cast("long")
+    return found.select("doc_id", "class_id", F.coalesce("copies", none).alias("copies"), F.coalesce("links", none).cast("long").alias("links"), "other_id", "containment")

@@ -31,7 +31,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunkprint.containment(table(spark, sf_dir, "documents"))
+    return chunkprint.links(table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
