@@ -24,11 +24,13 @@ def brute_chunks(t, seeds=L.SEEDS):
             if z > s and b[z - 1] in b" \t\r\n":
                 z -= 1
         ends.append(z)
+    one = lambda x: K.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))
+    hs = [one(b[s : ends[i]]) for i, (s, _) in enumerate(ls)]
     for seed in range(seeds):
         a = 0
         for i, (s, e) in enumerate(ls):
-            buf = np.frombuffer(b[s : ends[i]], np.uint8)
-            h = K.span_hashes(buf, np.array([0]), np.array([len(buf)]))
+            run = np.concatenate(hs[max(0, i - L.ROLL + 1) : i + 1])
+            h = K.sequence_hashes(run, np.array([0]), np.array([len(run)]))
             cut = i == len(ls) - 1 or int(K.mix(h + K.salt(seed + 1))[0]) & 1 == 0
             if cut:
                 if i - a + 1 >= L.MIN_LINES and ends[i] - ls[a][0] >= L.MIN_BYTES:
@@ -104,6 +106,36 @@ def test_copies_empty_and_extra_columns(spark, odd_docs, no_docs):
     assert got[1] == t and len(got.get(2, "")) < len(t) / 5
 
 
+def test_clashing_names_and_repeats_over_batches(spark):
+    names = ["__k", "__c", "__c_k", "__r", "__r_k", "__new", "__removed", "k", "i", "cand", "id", "at", "digest", "salt", "more"]
+    t = "A first line that is long enough to count here.\nA second line that is long enough too."
+    rows = [(i, t if i % 2 else t + f"\nand the end of number {i}") for i in range(40)] + [(None, t), (3, t)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted((r.doc_id or -1, r.text) for r in L.remove_repeats(d, every=True).collect())
+    assert sum(t in x for _, x in plain) == 1 and len(plain) == len(rows)
+    for n in names:
+        d = d.withColumn(n, d["doc_id"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = L.remove_repeats(d.repartition(5), every=True)
+        got = out.collect()
+        assert out.columns == [c for c in d.columns if c != "__removed"] + ["__removed"]
+        assert sorted((r.doc_id or -1, r.text) for r in got) == plain
+        assert all(r[n] == r.doc_id for r in got for n in names if n != "__removed")
+        assert L.clean(d).columns == d.columns
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_hashes_of_long_spans(monkeypatch):
+    b = np.frombuffer(b"one two three four five six seven" * 40, np.uint8)
+    s, e = np.array([0, 10, 40, 700]), np.array([10, 30, 700, 1000])
+    want = K.span_hashes(b, s, e).tolist()
+    monkeypatch.setattr(K, "SLICE_BYTES", 25)
+    assert K.span_hashes(b, s, e).tolist() == want
+
+
 def surviving(rows):
     """Documents that hold a run of 50 words, 25 of them different, that an earlier one has."""
     seen, n = set(), 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,8 @@ from .common import map_arrow
 
 #: Independent chunkings; a passage is found if any of them has a chunk within it.
 SEEDS = 6
+#: Lines that the rolling hash covers which decides on a boundary.
+ROLL = 2
 #: A chunk counts from so many lines and bytes on.
 MIN_LINES, MIN_BYTES = 2, 60
 #: A single line counts from so many words on.
@@ -55,18 +59,21 @@ def hashed_lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 def chunks(buf: np.ndarray, offs: np.ndarray, seeds: int = SEEDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, digest, and first and last byte (relative to the row) of each multi-line chunk.
 
-    For each seed, a line ends a chunk if a seeded hash of the line's hash
-    says so (one line in two), or if it is the last one.  The digest is that
-    of the lines' hashes in their order.
+    For each seed, a line ends a chunk if the rolling hash over it and the
+    ROLL - 1 lines before it says so (one line in two), or if it is the last
+    one.  The digest is that of the lines' hashes in their order.
     """
     row, s, e, h = hashed_lines(buf, offs)
     none = np.zeros(0, np.int64)
     if not len(s):
         return none, none.astype(_U), none, none
     last = np.append(row[1:] != row[:-1], True)
+    at = np.arange(len(s))
+    begin = np.maximum(at - ROLL + 1, np.searchsorted(row, row))
+    rolled = K.sequence_hashes(h, begin, at + 1)
     out = []
     for seed in range(seeds):
-        cut = last | ((K.mix(h + K.salt(seed + 1)) & _U(1)) == 0)
+        cut = last | ((K.mix(rolled + K.salt(seed + 1)) & _U(1)) == 0)
         b = np.flatnonzero(cut)
         a = np.concatenate(([0], b[:-1] + 1))
         keep = (b - a + 1 >= MIN_LINES) & (e[b] - s[a] >= MIN_BYTES)
@@ -103,33 +110,48 @@ def windows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[a], K.sequence_hashes(h, a, b + 1), s[a] - offs[row[a]], e[b] - offs[row[a]]
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
+def _find(b: pa.RecordBatch, cutter) -> pa.RecordBatch:
+    """digest, salt, more, id, k and at of the candidates of a batch.
 
-def _find(b: pa.RecordBatch, cutter=chunks) -> pa.RecordBatch:
+    Of one digest only the first candidate in the batch is left to be compared
+    with other batches (salt 0); what follows it comes later in any case, and
+    its salt spreads it.  more tells that something follows.
+    """
     buf, offs = K.raw(b.column("text"))
-    key = b.column("k").to_numpy()
-    rows, parts = [], []
+    ids, k = b.column("id"), b.column("k").to_numpy()
+    here = np.asarray(ids.is_valid())
+    number = ids.fill_null(0).to_numpy()
+    rows, parts = [np.zeros(0, np.int64)], [(np.zeros(0, _U), np.zeros(0, np.int64))]
     for lo, hi in K.slices(offs):
         r, d, p, q = cutter(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         rows.append(r + lo)
         parts.append((d, (p << 32) | q))
+    row = np.concatenate(rows)
     d, at = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(key[np.concatenate(rows)]), pa.array(at)], ["digest", "k", "at"])
-
-
-def _candidates(text: pa.Array, at: pa.Array) -> tuple:
-    """The lines of each text, and of each candidate its row, place, and first and last line; none that doesn't fit."""
-    buf, offs = K.raw(text.cast(pa.string()))
-    _, s, e, h = hashed_lines(buf, offs)
-    parent = np.repeat(np.arange(len(text)), np.diff(at.offsets.to_numpy()))
-    place = at.flatten().to_numpy()
-    lo, hi = offs[parent] + (place >> 32), offs[parent] + (place & 0xFFFFFFFF)
-    a = np.minimum(np.searchsorted(s, lo), max(len(s) - 1, 0))
-    b = np.maximum(np.searchsorted(s, hi) - 1, 0)
-    ok = (s[a] == lo) & (e[b] == hi) & (b >= a) if len(s) else np.zeros(len(lo), bool)
-    return buf, s, e, h, parent[ok], place[ok], a[ok], b[ok]
+    order = np.lexsort((at, k[row], number[row], here[row], d))
+    row, d, at = row[order], d[order], at[order]
+    same = np.concatenate(([False], d[1:] == d[:-1])) if len(d) else np.zeros(0, bool)
+    # rows that repeat id and text are one document
+    again = same & np.concatenate(([False], (at[1:] == at[:-1]) & (k[row[1:]] == k[row[:-1]]) & (number[row[1:]] == number[row[:-1]]) & (here[row[1:]] == here[row[:-1]]))) if len(d) else same
+    row, d, at, same = row[~again], d[~again], at[~again], same[~again]
+    more = ~same & np.append(same[1:], False) if len(d) else same
+    salt = np.where(same, np.where(k[row] == 0, 1, k[row]), 0)
+    return pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(salt), pa.array(more), pa.array(number[row], mask=~here[row]), pa.array(k[row]), pa.array(at)], ["digest", "salt", "more", "id", "k", "at"])
+
+
+def _contents(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Digest and bytes, line by line, of the different candidates of a batch."""
+    buf, offs = K.raw(b.column("text").cast(pa.string()))
+    _, s, e, _ = hashed_lines(buf, offs)
+    lists = b.column("cand")
+    parent = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten()
+    at, digest = flat.field("at").to_numpy(), flat.field("digest").to_numpy()
+    first = np.searchsorted(s, offs[parent] + (at >> 32))
+    last = np.searchsorted(s, offs[parent] + (at & 0xFFFFFFFF))
+    raw, s, e = memoryview(buf), s.tolist(), e.tolist()
+    seen = {(d, b"\n".join(raw[s[i] : e[i]] for i in range(x, y))) for d, x, y in zip(digest.tolist(), first.tolist(), last.tolist())}
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in seen], pa.int64()), pa.array([x for _, x in seen], pa.binary())], ["digest", "bytes"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
@@ -137,66 +159,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     All columns and rows of docs come back, with text changed where something
     was removed, and one more column, ``__removed``: the bytes removed (0 in
-    most rows).
+    most rows).  A column of that name in docs gives way to it; other columns
+    may have any name.
 
-    Lines (see ``lines``) are cut into chunks where a hash of the line says
-    so, so the same run of lines gives the same chunks wherever it stands.
-    Chunks of two lines and 60 bytes at least whose 64-bit digest occurs twice
-    are candidates.  The bytes of all their lines are fetched and compared:
-    only if lines of equal hash are equal in bytes, and chunks are equal line
-    by line, are they the same.  Of the same chunks all but the first by
-    (doc_id, place) go, in one document as well as over many.
+    Lines (see ``lines``) are cut into chunks where a rolling hash over line
+    hashes says so, so the same run of lines gives the same chunks wherever it
+    stands.  Chunks of two lines and 60 bytes at least whose 64-bit digest
+    occurs twice are candidates.  The bytes of their lines are fetched and
+    compared: a digest that stands for different bytes removes nothing.  Of
+    the same chunks all but the first by (doc_id, place) go, in one document
+    as well as over many.
 
     With every, the candidates are those of ``windows`` instead, rolling hashes
     over all runs of lines: a shared run of lines that counts goes from its
     first line to its last, and a single line of LONG_WORDS words too.
-    Otherwise single lines are never removed.  Blanks and line ends between lines don't count.  A
-    passage that begins or ends within a line keeps that line.
+    Otherwise single lines are never removed.  Blanks and line ends between
+    lines don't count.  A passage that begins or ends within a line keeps that
+    line.
 
     Null texts stay null, empty ones empty.  Rows that repeat both doc_id and
-    text are one document; those that repeat only doc_id are different ones.
-    A null doc_id comes before others in the order of occurrences.  A text all
-    of which occurred before becomes empty; its row stays.
+    text are one document; those that repeat only doc_id are different ones,
+    in the order of a hash of their texts.  A null doc_id comes before others
+    in the order of occurrences.  A text all of which occurred before becomes
+    empty; its row stays.  Texts of any length are read in full.  An empty
+    table gives no rows.
     """
-    names = docs.columns
-    src = docs.withColumn("__k", _key(id_col, text_col))
-    found = map_arrow(src.where(F.length(text_col) > MIN_BYTES // 4).select(F.col("__k").alias("k"), F.col(text_col).cast("string").alias("text")), lambda b: _find(b, windows if every else chunks), "digest long, k long, at long")
-    times = found.withColumn("n", F.count("*").over(Window.partitionBy("digest"))).where("n > 1")
-    wanted = times.groupBy("k").agg(F.collect_set("at").alias("__c")).withColumnRenamed("k", "__c_k")
-
-    i_id, i_text = names.index(id_col), names.index(text_col)
-
-    def places(b: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, _, h, parent, place, first, last = _candidates(b.column(i_text), b.column(len(names) + 1))
-        n = last - first + 1
-        to = np.concatenate(([0], np.cumsum(n)))
-        flat = np.repeat(first - to[:-1], n) + np.arange(to[-1])
-        runs = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(h[flat].view(np.int64)))
-        pick = pa.array(parent)
-        return pa.RecordBatch.from_arrays([runs, b.column(i_id).cast(pa.int64()).take(pick), b.column(len(names)).take(pick), pa.array(place)], ["lines", "id", "k", "at"])
-
-    def contents(b: pa.RecordBatch) -> pa.RecordBatch:
-        buf, s, e, h, _, _, first, last = _candidates(b.column(i_text), b.column(len(names) + 1))
-        covered = np.zeros(len(s) + 1, np.int64)
-        np.add.at(covered, first, 1)
-        np.add.at(covered, last + 1, -1)
-        _, once = np.unique(np.where(np.cumsum(covered[:-1]) > 0, h, _U(0)), return_index=True)
-        once = once[np.cumsum(covered[:-1])[once] > 0]
-        raw = buf.tobytes()
-        texts = pa.array([raw[x:y] for x, y in zip(s[once].tolist(), e[once].tolist())], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), texts], ["line", "bytes"])
-
-    # the joins and both uses of this one read the same shuffled rows of src
-    held = src.join(wanted, F.col("__k") == F.col("__c_k")).select(*names, "__k", "__c")
-    shown = map_arrow(held, contents, "line long, bytes binary").distinct()
-    # hashes that stand for different lines; hardly ever any, and then a handful
-    mixed = shown.groupBy("line").count().where("count > 1").agg(F.collect_list("line").alias("mixed"))
-    same = map_arrow(held, places, "lines array<long>, id long, k long, at long")
-    same = same.join(F.broadcast(mixed)).where(~F.arrays_overlap("lines", "mixed"))
-    # repeated rows have the same rank, so none of them comes after the other
-    nth = F.rank().over(Window.partitionBy("lines").orderBy("id", "k", "at"))
-    gone = same.withColumn("nth", nth).where("nth > 1").select("k", F.struct(F.shiftright("at", 32).alias("lo"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("hi")).alias("r"))
-    gone = gone.groupBy("k").agg(F.array_sort(F.collect_set("r")).alias("__r")).withColumnRenamed("k", "__r_k")
+    return _without_repeats(docs.drop("__removed"), id_col, text_col, every, "__removed")
+
+
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, every: bool, removed: str) -> DataFrame:
+    names, mark = docs.columns, uuid.uuid4().hex
+    k, i, cand, new = (x + mark for x in ("k", "i", "cand", "new"))
+    cutter = windows if every else chunks
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    asked = docs.where(F.length(text_col) > MIN_BYTES // 4).select(F.col(id_col).cast("long").alias("id"), key.alias("k"), F.col(text_col).cast("string").alias("text"))
+    found = map_arrow(asked, lambda b: _find(b, cutter), "digest long, salt long, more boolean, id long, k long, at long")
+    order = Window.partitionBy("digest", "salt").orderBy("id", "k", "at")
+    later = (F.col("salt") != 0) | (F.rank().over(order) > 1)
+    times = found.select("digest", "id", "k", "at", "more", later.alias("later"), F.lead("k").over(order).isNotNull().alias("next")).where("later or next or more")
+    wanted = times.groupBy("id", "k").agg(F.collect_set(F.struct("at", "later", "digest")).alias(cand)).withColumnsRenamed({"id": i, "k": "w" + mark})
+
+    # both joins read the same shuffled rows
+    src = docs.withColumn(k, key)
+    meet = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(k) == F.col("w" + mark))
+    held = src.join(wanted, meet).select(F.col(text_col).alias("text"), F.col(cand).alias("cand"))
+    shown = map_arrow(held, _contents, "digest long, bytes binary").distinct()
+    # digests that stand for different bytes; hardly ever any, and then a handful
+    mixed = shown.groupBy("digest").count().where("count > 1").agg(F.collect_list("digest").alias("mixed" + mark))
 
     raw = F.encode(F.col(text_col).cast("string"), "UTF-8")
     end = F.octet_length(text_col).cast("long")
@@ -206,23 +215,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         more = F.when(r["lo"] > acc["at"], F.concat(acc["keep"], F.array(F.struct(acc["at"].alias("lo"), r["lo"].alias("hi"))))).otherwise(acc["keep"])
         return F.struct(F.greatest(acc["at"], r["hi"]).alias("at"), more.alias("keep"))
 
+    gone = F.filter(cand, lambda x: x["later"] & ~F.array_contains("mixed" + mark, x["digest"]))
+    gone = F.array_sort(F.transform(gone, lambda x: F.struct(F.shiftright(x["at"], 32).alias("lo"), x["at"].bitwiseAND(0xFFFFFFFF).alias("hi"))))
     tail = F.array(F.struct(end.alias("lo"), end.alias("hi")))
-    kept = F.aggregate(F.concat("__r", tail), start, step)["keep"]
-    joined = F.aggregate(kept, F.lit("").cast("binary"), lambda acc, x: F.concat(acc, F.substring(raw, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int"))))
-    text = F.when(F.col("__r").isNull(), F.col(text_col).cast("string")).otherwise(F.ltrim(F.decode(joined, "UTF-8")))
-    out = src.join(gone, F.col("__k") == F.col("__r_k"), "left").withColumn("__new", text)
-    return out.select(*[F.col("__new").alias(c) if c == text_col else F.col(c) for c in names], (F.coalesce(F.octet_length(text_col), F.lit(0)) - F.coalesce(F.octet_length("__new"), F.lit(0))).cast("long").alias("__removed"))
+    kept = F.aggregate(F.concat(gone, tail), start, step)["keep"]
+    joined = F.concat(F.lit("").cast("binary"), F.array_join(F.transform(kept, lambda x: F.decode(F.substring(raw, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), "UTF-8")), "").cast("binary"))
+    text = F.when(F.exists(cand, lambda x: x["later"]), F.when(F.size(gone) > 0, F.ltrim(F.decode(joined, "UTF-8"))))
+    out = src.join(wanted, meet, "left").join(F.broadcast(mixed)).withColumn(new, F.coalesce(text, F.col(text_col).cast("string")))
+    size = (F.coalesce(F.octet_length(text_col), F.lit(0)) - F.coalesce(F.octet_length(new), F.lit(0))).cast("long")
+    return out.select(*[F.col(new).alias(c) if c == text_col else F.col(c) for c in names], size.alias(removed))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """doc_id, text without repeats, and the bytes removed, a row for each row of docs."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return remove_repeats(d, every=every).withColumnRenamed("__removed", "removed")
+    return _without_repeats(d, "doc_id", "text", every, "removed")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs after remove_repeats with every, without the rows that it emptied; n_chars follows the text."""
-    out = remove_repeats(docs, id_col, text_col, every=True).where((F.col("__removed") == 0) | (F.trim(text_col) != ""))
+    removed = "r" + uuid.uuid4().hex
+    out = _without_repeats(docs, id_col, text_col, True, removed).where((F.col(removed) == 0) | (F.trim(text_col) != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -159,14 +159,31 @@ def counts_per_row(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; equal bytes give equal hashes anywhere."""
-    n = len(buf)
-    if len(starts) == 0:
-        return np.zeros(0, _U)
-    c = np.zeros(n + 1, _U)
-    np.cumsum((buf.astype(_U) + _U(1)) * _table("p", n)[:n], out=c[1:])
-    inv = _table("q", n + 1)
-    return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(_U))
+    """64-bit hash of each byte span; equal bytes give equal hashes anywhere.
+
+    The spans are in order and don't overlap; they are taken SLICE_BYTES at a
+    time, so that the temporary arrays stay small.
+    """
+    n = len(starts)
+    out = np.zeros(n, _U)
+    i = 0
+    while i < n:
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + SLICE_BYTES, side="right"))
+        if j > i:
+            part = buf[base : int(ends[j - 1])]
+            c = np.zeros(len(part) + 1, _U)
+            np.cumsum((part.astype(_U) + _U(1)) * _table("p", len(part))[: len(part)], out=c[1:])
+            s, e = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = (c[e] - c[s]) * _table("q", len(part) + 1)[s]
+        else:
+            j, total = i + 1, 0
+            for at in range(base, int(ends[i]), SLICE_BYTES):
+                part = buf[at : min(at + SLICE_BYTES, int(ends[i]))]
+                total += int(((part.astype(_U) + _U(1)) * _table("p", len(part))[: len(part)]).sum()) * pow(_BASE, at - base, 1 << 64)
+            out[i] = _U(total & (1 << 64) - 1)
+        i = j
+    return mix(out + (ends - starts).astype(_U))
 
 
 def sequence_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
