@@ -238,46 +238,54 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     rows = cut(map_arrow(src, heads, "doc_id long, k long, w long"), "chunk-rows")
     classes = cut(rows.where("k is not null").groupBy("k").agg(F.max("w").alias("w"), F.count("*").alias("n"), F.min("doc_id").alias("lead")), "chunk-classes")
     flat = map_arrow(src, postings, "k long, code long").repartition("code").dropDuplicates(["code", "k"])
-    # both uses of flat read the same shuffled rows
-    codes = flat.groupBy("code").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).where("df > 1")
-    known = codes.select("code", "df", F.xxhash64("df", "x", "y").alias("u"))
-    units = flat.join(known, "code").groupBy("k", "u", "df").agg(F.sum(F.col("code").bitwiseAND(SIZE_MASK)).alias("wt"))
-    units = cut(units, "chunk-units")
-
-    profile = F.array_sort(F.collect_list(F.when(F.col("df") > hot, F.struct("u", "wt"))))
-    held = units.groupBy("k").agg(profile.alias("hot"), F.sum("wt").alias("common")).join(classes, "k")
+    same = Window.partitionBy("code")
+    # chunks of the same number of classes, and of the same ones by two hashes, are a unit
+    unit = F.xxhash64(F.count("*").over(same), F.bit_xor(F.xxhash64("k")).over(same), F.bit_xor(F.xxhash64("k", F.lit(1))).over(same))
+    units = flat.select("k", F.count("*").over(same).alias("df"), unit.alias("u"), F.col("code").bitwiseAND(SIZE_MASK).alias("wt")).where("df > 1")
+    # once the shared chunks are with their class, units and profiles need no shuffle of their own
+    units = units.repartition("k")
+    units = units.groupBy("k", "u", "df").agg(F.sum("wt").alias("wt"))
+    profile = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct("u", "wt"))))
+    held = units.groupBy("k").agg(profile(F.col("df") > hot).alias("hot"), profile(F.col("df") <= hot).alias("rare"), F.sum("wt").alias("common")).join(classes, "k")
     size = F.aggregate("hot", F.lit(0).cast("long"), lambda a, x: a + x["wt"])
-    held = cut(held.select("k", "w", "n", "hot", size.alias("size"), F.when(F.size("hot") > 0, F.xxhash64("hot")).alias("g"), (F.col("common") >= F.col("w") * threshold).alias("ask")), "chunk-profiles")
+    # numbers in place of hashes, as they take less room in what follows
+    held = cut(held.select(F.monotonically_increasing_id().alias("id"), "k", "w", "n", "lead", "hot", "rare", size.alias("size"), F.when(F.size("hot") > 0, F.xxhash64("hot")).alias("g"), (F.col("common") >= F.col("w") * threshold).alias("ask")), "chunk-profiles")
+    groups = held.where("g is not null").groupBy("g", "hot", "size").agg(F.sum("n").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("w").alias("least"), F.max("ask").alias("ask"))
+    groups = cut(groups.withColumn("id", F.monotonically_increasing_id()), "chunk-groups")
 
     # pairs by rarer units
-    who = units.where(F.col("df") <= hot).join(held.select("k", "ask"), "k").groupBy("u").agg(F.first("wt").alias("wt"), F.collect_list(F.struct("k", "ask")).alias("who"))
-    who = who.select("wt", "who", F.explode(F.filter("who", lambda x: x["ask"])).alias("a")).select("wt", F.col("a.k").alias("a"), F.explode("who.k").alias("b")).where("a <> b")
+    who = held.select("id", "ask", F.explode("rare").alias("x")).groupBy("x").agg(F.collect_list(F.struct("id", "ask")).alias("who"))
+    who = who.where("size(who) > 1").select("x.wt", "who", F.explode(F.filter("who", lambda x: x["ask"])).alias("a")).select("wt", F.col("a.id").alias("a"), F.explode("who.id").alias("b")).where("a <> b")
     pairs = who.groupBy("a", "b").agg(F.sum("wt").alias("rare"))
-    left = held.select(F.col("k").alias("a"), "w", F.col("hot").alias("ha"), F.col("g").alias("ga"), F.col("size").alias("sa"))
-    right = held.select(F.col("k").alias("b"), "n", F.col("hot").alias("hb"), F.col("g").alias("gb"))
+    left = held.select(F.col("id").alias("a"), "w", F.col("g").alias("ga"), F.col("size").alias("sa"))
+    right = held.select(F.col("id").alias("b"), "n", F.col("g").alias("gb"), F.col("size").alias("sb"))
+    near = pairs.join(left, "a").join(right, "b").where(F.col("rare") + F.least("sa", "sb") >= F.col("w") * threshold)
+    # only two different profiles must be compared
+    simple = near.where("ga is null or gb is null or ga = gb").withColumn("both", F.when(F.col("ga") == F.col("gb"), F.col("sa")).otherwise(0))
     both = F.aggregate(F.array_intersect("ha", "hb"), F.lit(0).cast("long"), lambda a, x: a + x["wt"])
-    both = F.when(F.col("ga").isNull() | F.col("gb").isNull(), F.lit(0).cast("long")).when(F.col("ga") == F.col("gb"), F.col("sa")).otherwise(both)
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "w", "n", "rare", both.alias("both")).where(F.col("rare") + F.col("both") >= F.col("w") * threshold)
+    two = near.where("ga <> gb").join(groups.select(F.col("g").alias("ga"), F.col("hot").alias("ha")), "ga").join(groups.select(F.col("g").alias("gb"), F.col("hot").alias("hb")), "gb").withColumn("both", both)
+    cols = ["a", "b", "w", "n", "rare", "both"]
+    near = simple.select(cols).union(two.select(cols)).where(F.col("rare") + F.col("both") >= F.col("w") * threshold)
     more = F.sum(F.when(F.col("both") < F.col("w") * threshold, F.col("n")).otherwise(0))
-    near = near.groupBy("a").agg(more.alias("rare_links"), F.max(F.struct((F.col("rare") + F.col("both")).alias("shared"), F.col("b").alias("k"))).alias("rare_best"))
+    near = near.groupBy("a").agg(more.alias("rare_links"), F.max(F.struct((F.col("rare") + F.col("both")).alias("shared"), F.col("b").alias("id"))).alias("rare_best"))
 
     # pairs of profiles
-    groups = cut(held.where("g is not null").groupBy("g", "hot", "size").agg(F.sum("n").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("w").alias("least"), F.max("ask").alias("ask")), "chunk-groups")
-    each = groups.select("g", F.explode("hot").alias("x"))
-    asking = groups.where(F.col("ask") & (F.col("size") >= F.col("least") * threshold)).select(F.col("g").alias("a"), "least", F.explode("hot").alias("x"))
-    met = asking.select("a", "least", "x.u", "x.wt").join(each.select(F.col("g").alias("b"), "x.u"), "u").groupBy("a", "b", "least").agg(F.sum("wt").alias("both")).where(F.col("both") >= F.col("least") * threshold)
-    met = met.join(groups.select(F.col("g").alias("b"), "n", "lo", "hi"), "b").groupBy("a", "both").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    each = groups.select(F.col("id").alias("b"), F.explode("hot").alias("x")).select("b", "x.u")
+    asking = groups.where(F.col("ask") & (F.col("size") >= F.col("least") * threshold)).select(F.col("id").alias("a"), F.explode("hot").alias("x"))
+    met = asking.select("a", "x.u", "x.wt").join(each, "u").groupBy("a", "b").agg(F.sum("wt").alias("both"))
+    met = met.join(groups.select(F.col("id").alias("b"), "n", "lo", "hi"), "b").groupBy("a", "both").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # a row for each number of shared bytes at most
     met = met.groupBy("a").agg(F.collect_list(F.struct("both", "n", "lo", "hi")).alias("met"))
+    met = met.join(groups.select(F.col("id").alias("a"), F.col("g").alias("mg")), "a").select("mg", "met")
 
-    out = held.where("ask").join(met, F.col("g") == F.col("a"), "left").drop("a").join(near, F.col("k") == F.col("a"), "left")
+    out = held.where("ask").select("id", "k", "w", "n", "hot", "size", "g").join(met, F.col("g") == F.col("mg"), "left").join(near, F.col("id") == F.col("a"), "left")
     enough = F.filter(F.coalesce("met", F.expr("cast(array() as array<struct<both:bigint,n:bigint,lo:bigint,hi:bigint>>)")), lambda x: x["both"] >= F.col("w") * threshold)
     counted = F.aggregate(enough, F.lit(0).cast("long"), lambda a, x: a + x["n"]) - F.when((F.size("hot") > 0) & (F.col("size") >= F.col("w") * threshold), F.col("n")).otherwise(0)
-    other = F.transform(enough, lambda x: F.struct(x["both"].alias("shared"), F.when(x["hi"] != F.col("k"), x["hi"]).when(x["lo"] != F.col("k"), x["lo"]).alias("k")))
-    best = F.array_max(F.concat(F.filter(other, lambda x: x["k"].isNotNull()), F.array_compact(F.array("rare_best"))))
-    out = out.select("k", (counted + F.coalesce("rare_links", F.lit(0))).alias("links"), best.alias("best"))
-    leads = classes.select(F.col("k").alias("best_k"), F.col("lead").alias("other_id"))
-    out = out.withColumn("best_k", F.col("best.k")).join(leads, "best_k", "left").select(F.col("k").alias("o"), "links", "other_id", F.col("best.shared").alias("shared"))
+    other = F.transform(enough, lambda x: F.struct(x["both"].alias("shared"), F.when(x["hi"] != F.col("id"), x["hi"]).when(x["lo"] != F.col("id"), x["lo"]).alias("id")))
+    best = F.array_max(F.concat(F.filter(other, lambda x: x["id"].isNotNull()), F.array_compact(F.array("rare_best"))))
+    out = out.select("k", (counted + F.coalesce("rare_links", F.lit(0))).alias("links"), best.alias("best")).where("links > 0")
+    leads = held.select(F.col("id").alias("best_id"), F.col("lead").alias("other_id"))
+    out = out.withColumn("best_id", F.col("best.id")).join(leads, "best_id", "left").select(F.col("k").alias("o"), "links", "other_id", F.col("best.shared").alias("shared"))
     named = classes.join(out, F.col("k") == F.col("o"), "left").select(F.col("k").alias("c"), F.col("lead").alias("class_id"), (F.col("n") - 1).alias("copies"), "links", "other_id", (F.col("shared") / F.col("w")).alias("containment"))
     found = rows.join(named, F.col("k") == F.col("c"), "left")
     none = F.lit(0).cast("long")
