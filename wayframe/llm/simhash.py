@@ -21,7 +21,7 @@ RADIUS, WIDE = 8, 22
 #: Blocks of a half; more of them make smaller shards, and more shards of each fingerprint.
 BLOCKS = 10
 #: Fingerprints that a shard should have at most on average, and rows of shards that a task takes.
-SHARD, TASK_ROWS = 2_000, 1_500_000
+SHARD, TASK_ROWS = 2_000, 700_000
 _U = np.uint64
 _ROW_BITS = 20
 _LANES = _U(0x0101010101010101)
