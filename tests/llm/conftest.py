@@ -29,7 +29,7 @@ def odd_docs(spark):
         (7, "ÄÖÜ ñandú été 你好!", "es", "c", 18),
     ]
     d = spark.createDataFrame(rows, DOCS)
-    for name in ("k", "bin", "tokens", "digest", "group_id", "keep", "at", "bucket", "total", "n", "id", "levels"):
+    for name in ("k", "bin", "tokens", "digest", "group_id", "keep", "at", "bucket", "total", "n", "id", "levels", "__mix_last", "last", "__k", "__c", "__r"):
         d = d.withColumn(name, d["doc_id"])
     return d
 

@@ -56,3 +56,33 @@ def test_every_document_once(spark, sf):
 def test_odd_rows(spark, odd_docs, no_docs):
     check(P.pack(odd_docs, 64).collect(), [(r.doc_id, r.text) for r in odd_docs.collect()], 64)
     assert P.pack(no_docs).count() == 0
+
+
+def fewest(sizes, capacity):
+    """The least number of bins, by trying every placement."""
+    best = [len(sizes)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= sizes[i] and rooms[j] not in rooms[:j]:
+                place(i + 1, rooms[:j] + [rooms[j] - sizes[i]] + rooms[j + 1 :])
+        place(i + 1, rooms + [capacity - sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bins_against_the_exhaustive_optimum(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET", 3)
+    rng = np.random.default_rng(8)
+    for n in (1, 6, 9, 10):
+        sizes = sorted(rng.integers(1, 20, n).tolist(), reverse=True)
+        d = spark.createDataFrame([(i, "w " * s) for i, s in enumerate(sizes)], "doc_id long, text string")
+        rows = P.pack(d, capacity=24).collect()
+        assert sorted(r.tokens for r in rows) == sorted(sizes)
+        assert fewest(sizes, 24) <= len({r.bin for r in rows}) <= fewest(sizes, 24) + 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,10 +96,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", see
     """
     kept = schedule(docs, id_col=id_col, source_col=source_col, seed=seed, **options)
     key = F.struct("order_key", "doc_id")
-    last = cut(kept.groupBy("source").agg(F.max(key).alias("last")), "mix-last").select(F.struct("source", "last").alias("__mix_last"))
+    name = "last" + uuid.uuid4().hex
+    last = cut(kept.groupBy("source").agg(F.max(key).alias("last")), "mix-last").select(F.struct("source", "last").alias(name))
     mine = F.struct(_order_key(F.col(id_col), seed).alias("order_key"), F.col(id_col).alias("doc_id"))
-    near = docs.join(last, F.col(source_col).eqNullSafe(F.col("__mix_last.source")))
-    return near.where(mine <= F.col("__mix_last.last")).drop("__mix_last")
+    near = docs.join(last, F.col(source_col).eqNullSafe(F.col(name)["source"]))
+    return near.where(mine <= F.col(name)["last"]).select(docs.columns)
 
 
 def schedule_sql(weights: dict[str, float] = WEIGHTS, budget_share: float = BUDGET_SHARE, default_weight: float = DEFAULT_WEIGHT, seed: str = SEED) -> str:

@@ -19,7 +19,8 @@ CAPACITY = 2048
 #: Pieces longer than this share of the capacity are large.
 LARGE = 1 / 8
 GROUPS = 32
-_BUCKETS = 64
+#: Pieces of one length that one task ranks.
+BUCKET = 100_000
 
 
 def _price(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -183,17 +184,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     whole = F.floor((F.col("n") + capacity - 1) / capacity)
     pieces = d.select("doc_id", "n", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), whole - 1))).alias("piece"))
     size = F.when(F.col("piece").isNull(), 0).otherwise(F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity)).cast("int")
-    pieces = pieces.select("doc_id", "piece", size.alias("tokens"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_BUCKETS)).cast("int").alias("bucket"))
+    pieces = cut(pieces.select("doc_id", "piece", size.alias("tokens")), "pack-sizes")
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("tokens").count().collect():
+        counts[row["tokens"]] = row["count"]
+    # a length that is frequent gets more buckets, so that none is ranked in one task
+    many = F.create_map(*[F.lit(int(x)) for s in np.flatnonzero(counts > BUCKET) for x in (s, -(-counts[s] // BUCKET))]) if (counts > BUCKET).any() else None
+    buckets = F.lit(1) if many is None else F.coalesce(many[F.col("tokens")], F.lit(1))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets).cast("int"))
     nth = F.row_number().over(Window.partitionBy("tokens", "bucket").orderBy("doc_id", "piece"))
-    pieces = cut(pieces.withColumn("nth", nth), "pack-pieces")
 
     held = pieces.groupBy("tokens", "bucket").count()
-    # at most capacity x buckets rows
+    # a row for each length, and one more for each BUCKET pieces
     before = Window.orderBy(F.desc("tokens"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = held.where("tokens > 0").select(F.col("tokens").alias("b_tokens"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    counts = np.zeros(capacity + 1, np.int64)
-    for row in held.groupBy("tokens").agg(F.sum("count").alias("n")).collect():
-        counts[row["tokens"]] = row["n"]
+    none = pieces.where("tokens = 0").select(F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("start"), "doc_id", "piece", "tokens")
+    pieces = pieces.where("tokens > 0").withColumn("nth", nth)
     counts[0] = 0
     first, per, to = plan(counts, capacity, large, groups)
 
@@ -208,5 +214,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     placed = map_arrow(ranked, place, f"bin long, doc_id {kind}, piece long, tokens int")
     start = F.sum("tokens").over(Window.partitionBy("bin").orderBy(F.desc("tokens"), "doc_id", "piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
     placed = placed.select("bin", start.cast("long").alias("start"), "doc_id", "piece", "tokens")
-    none = pieces.where("tokens = 0").select(F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("start"), "doc_id", "piece", "tokens")
     return placed.unionByName(none)
