@@ -230,3 +230,31 @@ def test_liveness_and_paths():
     assert parse("$m._data.a[1].b[:]").parts == ("a", 1, "b", ":") and parse("_from").root == "from"
     with pytest.raises(PlanError):
         parse("")
+
+
+def _files(df):
+    return {f.rsplit("/", 1)[-1].removesuffix(".parquet") for f in df.inputFiles()}
+
+
+def test_hops_plan_only_tables_that_they_can_reach(spark):
+    from wayframe.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    assert not _files(Q.QUERIES["hop_both"](spark, sf)) & {"lineitem", "orders", "events", "documents", "labels", "part"}
+    assert _files(Q.QUERIES["edge_out"](spark, sf)) <= {"lineitem", "part", "orders"}
+    g = Q.load(spark, sf)
+    assert g.query().V().hasLabel("Region").out("placed").count().to_df().first()["count"] == 0
+    assert g.query().V().hasLabel("Nation").both().hasLabel("Part").count().to_df().first()["count"] == 0
+
+
+def test_loop_rounds_are_a_parameter(spark):
+    from wayframe.errors import PlanError
+    from wayframe.plans import queries as Q
+
+    g = Q.load(spark, "/root/testdata/sf0.001")
+    q = lambda: g.query().V("Customer:1").mark("a").out("customer_of", "in_region").jump("a", None, True).count().to_df().first()["count"]
+    g.loop_rounds = 1
+    with pytest.raises(PlanError):
+        q()
+    g.loop_rounds = None
+    assert q() == 2

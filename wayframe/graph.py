@@ -23,8 +23,13 @@ class PropertyGraph:
     pair; hops along them only read vertices of that label.  integrity: whether
     every edge's ends are known to exist; then hops whose vertices' payload
     isn't read need no vertex table at all.
+
+    loop_rounds: after so many rounds a loop that still has travelers is an
+    error; None lets it run until none is left.
     """
 
+    loop_rounds: int | None = 100
+
     def __init__(self, vertices: DataFrame | None, edges: DataFrame | None, ends: dict[str, tuple[str, str]] | None = None, integrity: bool = False, name: str = "graph", parts: tuple[dict[str, list[DataFrame]], dict[str, list[DataFrame]]] | None = None):
         """parts: instead of the two DataFrames, those of each vertex and each edge label, with payloads of their own fields."""
         self.ends, self.integrity, self.name = ends or {}, integrity, name
@@ -58,6 +63,10 @@ class PropertyGraph:
         got = [df for label, dfs in group.items() if labels is None or label == "" or label in labels for df in dfs]
         return got or [df.where("false") for df in next(iter(group.values()))[:1]]
 
+    def edge_labels(self) -> list[str] | None:
+        """The labels of all edges; None if a table may hold any."""
+        return None if "" in self._parts[True] else list(self._parts[True])
+
     def _union(self, edges: bool) -> DataFrame:
         if self._whole[edges] is None:
             dfs = self.tables(edges)

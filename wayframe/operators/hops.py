@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 from typing import TYPE_CHECKING
 
@@ -15,6 +16,8 @@ if TYPE_CHECKING:
 ENTRY = "struct<vertex:string,edge:string>"
 #: Stands for a struct without fields, which Parquet can't hold.
 NOTHING = T.StructType([T.StructField("_", T.BooleanType())])
+#: Stands for the labels of a hop that leads nowhere; no element has it.
+NO_LABEL = "-"
 
 
 def no_path() -> Column:
@@ -75,7 +78,8 @@ def start(ctx: "Context", name: str, ids: list[str], needs: frozenset[str]) -> "
             # an id that is given twice yields its element twice
             times = F.create_map(*[x for i in once for x in (F.lit(i), F.lit(ids.count(i)))])
             df = df.withColumn("__n", F.explode(F.sequence(F.lit(1), times[F.col("gid")])))
-    return Frame(extend(ctx, df.select("cur"), kind), kind)
+    only = _labels_after(ctx, 0)
+    return Frame(extend(ctx, df.select("cur"), kind), kind, may=None if only is None else frozenset(only))
 
 
 def _far_labels(ctx: "Context", labels: list[str], end: str, only: list[str] | None) -> list[str] | None:
@@ -87,6 +91,23 @@ def _far_labels(ctx: "Context", labels: list[str], end: str, only: list[str] | N
     return only
 
 
+def _reachable(ctx: "Context", labels: list[str], near: str, may: frozenset[str] | None) -> list[str]:
+    """The edge labels among these (or all) that can begin at vertices of the labels in may; empty for any."""
+    have = labels or [x for x in ctx.graph.edge_labels() or ()]
+    if may is None or not have:
+        return labels
+    known, side = ctx.graph.ends, 0 if near == "from" else 1
+    return [x for x in have if x not in known or known[x][side] in may] or [NO_LABEL]
+
+
+def _ends_of(ctx: "Context", labels: Iterable[str] | None, end: str) -> frozenset[str] | None:
+    """Labels of the vertices at this end of edges of these labels; None if that isn't known."""
+    known, side = ctx.graph.ends, 0 if end == "from" else 1
+    if not labels or not all(x in known or x == NO_LABEL for x in labels):
+        return None
+    return frozenset(known[x][side] for x in labels if x != NO_LABEL)
+
+
 def _targets(ctx: "Context", labels: list[str], near: str, far: str, needs: frozenset[str], only: list[str] | None) -> DataFrame:
     """(__k, __to): the near end's gid of each edge and the vertex at its far end; dangling edges give none."""
     known = ctx.graph.ends
@@ -127,19 +148,31 @@ def hop(ctx: "Context", f: "Frame", i: int) -> "Frame":
     if f.kind == "edge" and to_edge:
         raise PlanError(f"{name} needs vertices")
     parts = []
+    reached: list[frozenset[str] | None] = []
     kind = "edge" if to_edge else "vertex"
+    given = labels
     for near in sides:
         far = "to" if near == "from" else "from"
         if f.kind == "edge":
             # from an edge, out leads to its target and both to its two ends; labels play no part
             end = far if way != "both" else near
             end = {"to": "from", "from": "to"}[end] if way == "both" else end
-            v = scan(ctx, False, only, needs, "__to").withColumnRenamed("gid", "__k")
+            ends = _ends_of(ctx, f.may, end)
+            reached.append(ends)
+            there = only if ends is None else sorted(ends if only is None else ends & set(only)) or [NO_LABEL]
+            v = scan(ctx, False, there, needs, "__to").withColumnRenamed("gid", "__k")
             parts.append(_step(ctx, f, v, F.col("cur").getField(end), kind, False))
-        elif to_edge:
+            continue
+        labels = _reachable(ctx, given, near, f.may)
+        if to_edge:
+            reached.append(frozenset(labels) if labels else None)
             e = scan(ctx, True, labels or only, needs, "__to").select(F.col(near).alias("__k"), "__to")
             parts.append(_step(ctx, f, e, F.col("cur.gid"), kind, outer))
         else:
+            reached.append(_ends_of(ctx, labels, far))
             parts.append(_step(ctx, f, _targets(ctx, labels, near, far, needs, only), F.col("cur.gid"), kind, outer))
     df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return replace(f, df=df, kind=kind, same=frozenset())
+    may = None if any(x is None for x in reached) else frozenset().union(*reached)
+    if only is not None:
+        may = frozenset(only) if may is None else may & frozenset(only)
+    return replace(f, df=df, kind=kind, same=frozenset(), may=may)

@@ -17,8 +17,6 @@ from ..shared import shared_dir
 if TYPE_CHECKING:
     from ..plans.compiler import Context, Frame
 
-MAX_ROUNDS = 100
-
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, which ends its lineage."""
@@ -34,16 +32,19 @@ def iterate(ctx: "Context", start: "Frame", lo: int, hi: int, run: Callable) ->
     Travelers that a jump sends to a mark wait there; each round takes all that
     wait at one mark through the steps behind it.  What comes out of step hi
     piles up; duplicates are walks of their own and stay.  If a limit is next,
-    the rounds end as soon as it is reached.
+    the rounds end as soon as it is reached; otherwise the graph's loop_rounds
+    say how many there may be.
     """
     at = {v: i for i, (n, v) in enumerate(ctx.steps) if n == "mark"}
     waiting: dict[int, list["Frame"]] = {lo: [start]}
     done: list["Frame"] = []
     enough = ctx.steps[hi][1] if hi < len(ctx.steps) and ctx.steps[hi][0] == "limit" else None
     have = 0
-    for _ in range(MAX_ROUNDS):
-        if not waiting:
-            break
+    rounds = 0
+    while waiting:
+        rounds += 1
+        if ctx.graph.loop_rounds is not None and rounds > ctx.graph.loop_rounds:
+            raise PlanError(f"travelers still jump after {ctx.graph.loop_rounds} rounds")
         i = min(waiting)
         frame = _merge(waiting.pop(i))
         while i < hi and frame is not None:
@@ -66,9 +67,6 @@ def iterate(ctx: "Context", start: "Frame", lo: int, hi: int, run: Callable) ->
                 have += frame.df.limit(enough - have).count()
                 if have >= enough:
                     break
-    else:
-        if waiting:
-            raise PlanError(f"travelers still jump after {MAX_ROUNDS} rounds")
     if not done:
         return start.with_df(start.df.where(F.lit(False)))
     return _merge(done)
@@ -80,6 +78,7 @@ def _merge(frames: list["Frame"]) -> "Frame":
     if len(frames) == 1:
         return frames[0]
     kinds = {f.kind for f in frames}
+    may = None if any(f.may is None for f in frames) else frozenset().union(*[f.may for f in frames])
     marks = {m: k for f in frames for m, k in f.marks.items()}
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.df for f in frames])
-    return replace(frames[0], df=df, kind=frames[0].kind if len(kinds) == 1 else "vertex", marks=marks, same=frozenset())
+    return replace(frames[0], df=df, kind=frames[0].kind if len(kinds) == 1 else "vertex", marks=marks, same=frozenset(), may=may)

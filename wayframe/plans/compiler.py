@@ -38,6 +38,8 @@ class Frame:
     #: marks that hold the current element itself
     same: frozenset[str] = frozenset()
     chosen: tuple[str, ...] = ()
+    #: labels that the current element may have, as far as the plan tells; None for any
+    may: frozenset[str] | None = None
 
     def with_df(self, df: DataFrame) -> "Frame":
         return replace(self, df=df)
@@ -246,9 +248,14 @@ def one(ctx: Context, f: Frame, i: int) -> Frame:
     if name in HOPS:
         return hops.hop(ctx, f, i)
     if name == "has":
-        return f.with_df(df.where(conditions.build(v, f.value)))
+        cond = conditions.build(v, f.value)
+        # a null element matches nothing; conditions on marks alone don't look at it
+        if any(parse(k).mark is None for k in conditions.keys_in(v)):
+            cond = F.col("cur").isNotNull() & cond
+        return f.with_df(df.where(cond))
     if name == "hasLabel":
-        return f.with_df(df.where(F.col("cur.label").isin(v)))
+        left = frozenset(v) if f.may is None else f.may & frozenset(v)
+        return replace(f, df=df.where(F.col("cur.label").isin(v)), may=left)
     if name == "hasId":
         return f.with_df(df.where(F.col("cur.gid").isin(v)))
     if name == "hasKey":
@@ -280,7 +287,7 @@ def one(ctx: Context, f: Frame, i: int) -> Frame:
     if name == "aggregate":
         return Frame(aggregates.aggregate(df, v["aggregations"], f.value), "aggregation")
     if name == "custom":
-        return f.with_df(df.transform(v))
+        return replace(f, df=df.transform(v), may=None)
     if name == "mark":
         return f
     raise PlanError(f"no step is named {name}")
@@ -308,7 +315,7 @@ def _select(ctx: Context, f: Frame, marks: list[str]) -> Frame:
         raise PlanError(f"no mark is named {m}")
     df = f.df.withColumn("cur", F.col("m_" + m))
     kind = f.marks[m]
-    return replace(f, df=hops.extend(ctx, df, kind), kind=kind, same=frozenset([m]))
+    return replace(f, df=hops.extend(ctx, df, kind), kind=kind, same=frozenset([m]), may=None)
 
 
 def _distinct(f: Frame, paths: list[str]) -> DataFrame:

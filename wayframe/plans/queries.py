@@ -112,7 +112,9 @@ _walk("edge_out", "SELECT 'Part:' || p_partkey AS gid, p_brand AS brand FROM lin
 _walk("edge_in", "SELECT 'Order:' || o_orderkey AS gid, o_orderpriority AS priority FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 45", lambda q: q.E().hasLabel("contains").has(C.gt("l_quantity", 45)).in_(), gid="_gid", priority="o_orderpriority")
 _walk("edge_both", "SELECT 'Nation:' || n_nationkey AS gid FROM nation UNION ALL SELECT 'Region:' || n_regionkey FROM nation", lambda q: q.E().hasLabel("in_region").both(), gid="_gid")
 _walk("hop_out_null", "SELECT 'Document:' || d.doc_id AS doc, coalesce('Label:' || l.doc_id, '') AS gid, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", lambda q: q.V().hasLabel("Document").as_("a").outNull("rated").as_("b"), doc="$a._gid", gid="$b._gid", quality="$b.quality")
-_walk("hop_in_null", "SELECT 'Document:' || d.doc_id AS doc, '' AS gid FROM documents d", lambda q: q.V().hasLabel("Document").as_("a").inNull("rated").as_("b"), doc="$a._gid", gid="$b._gid")
+_walk("hop_in_null", "SELECT 'Nation:' || n_nationkey AS place, coalesce('Supplier:' || s_suppkey, '') AS gid FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey UNION ALL SELECT 'Region:' || r_regionkey, '' FROM region", lambda q: q.V().hasLabel("Nation", "Region").as_("a").inNull("supplier_of").as_("b"), place="$a._gid", gid="$b._gid")
+_walk("has_null_element", "SELECT 'Document:' || doc_id AS doc, 'Label:' || doc_id AS gid FROM labels WHERE quality <> 1", lambda q: q.V().hasLabel("Document").as_("a").outNull("rated").has(C.neq("quality", 1)), doc="$a._gid", gid="_gid")
+_walk("has_null_element_on_mark", "SELECT 'Document:' || d.doc_id AS doc, coalesce('Label:' || l.doc_id, '') AS gid FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang = 'en'", lambda q: q.V().hasLabel("Document").as_("a").outNull("rated").has(C.eq("$a.lang", "en")), doc="$a._gid", gid="_gid")
 _walk("hop_out_edge_null", "SELECT 'Document:' || d.doc_id AS doc, coalesce('Label:' || l.doc_id, '') AS target FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", lambda q: q.V().hasLabel("Document").as_("a").outENull("rated"), doc="$a._gid", target="_to")
 _walk("hop_in_edge_null", "SELECT 'Label:' || doc_id AS label_id, 'Document:' || doc_id AS source FROM labels UNION ALL SELECT 'Region:' || r_regionkey, '' FROM region", lambda q: q.V().hasLabel("Label", "Region").as_("a").inENull("rated"), label_id="$a._gid", source="_from")
 
@@ -137,7 +139,7 @@ for _name, _cond, _where in (
 ):
     _walk(_name, _PRICE + _where, lambda q, c=_cond: q.V().hasLabel("Order").has(c), gid="_gid")
 _walk("has_neq_missing", "SELECT 'Region:' || r_regionkey AS gid FROM region", lambda q: q.V().hasLabel("Region").has(C.neq("p_size", 1)), gid="_gid")
-_walk("has_contains", "SELECT 'Part:' || p_partkey AS gid FROM part WHERE list_contains(string_split(p_type, ' '), 'STEEL')", lambda q: q.V().hasLabel("Part").has(C.contains("p_words", "STEEL")), gid="_gid")
+_walk("has_contains", "SELECT 'Part:' || p_partkey AS gid FROM part WHERE list_contains(string_split(p_type, ' '), 'PROMO')", lambda q: q.V().hasLabel("Part").has(C.contains("p_words", "PROMO")), gid="_gid")
 _walk("has_id", "SELECT 'Part:' || p_partkey AS gid FROM part WHERE p_partkey IN (2, 4, 6)", lambda q: q.V().hasId("Part:2", "Part:4", "Part:4", "Part:6"), gid="_gid")
 _walk("has_key", "SELECT 'Supplier:' || s_suppkey AS gid FROM supplier", lambda q: q.V().hasKey("s_name", "s_acctbal"), gid="_gid")
 _walk("has_on_mark", "SELECT 'Order:' || o_orderkey AS gid, c_name AS name FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 0", lambda q: q.V().hasLabel("Customer").as_("c").out("placed").has(C.lt("$c.c_acctbal", 0)), gid="_gid", name="$c.c_name")
@@ -191,11 +193,11 @@ _agg(
 _agg("two_hop_terms", "SELECT 'brand' AS name, p_brand AS key, CAST(count(*) AS DOUBLE) AS value FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'MACHINERY' GROUP BY ALL", lambda q: q.V().hasLabel("Customer").has(C.eq("c_mktsegment", "MACHINERY")).out("placed").out("contains").aggregate(term("brand", "p_brand")))
 
 # loops
-_LEVELS = "SELECT 'Nation:' || n_nationkey AS gid FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Customer:' || c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'Supplier:' || s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 1"
-_walk("loop", _LEVELS, lambda q: q.V("Region:1").mark("a").in_("in_region", "customer_of", "supplier_of").jump("a", None, True), gid="_gid")
-_walk("loop_counter", "SELECT 'Nation:' || n_nationkey AS gid, CAST(1 AS BIGINT) AS depth FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'Customer:' || c_custkey, 2 FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'Supplier:' || s_suppkey, 2 FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 1", lambda q: q.V("Region:1").set("depth", 0).as_("s").mark("a").in_("in_region", "customer_of", "supplier_of").increment("$s.depth").jump("a", C.lt("$s.depth", 2), True), gid="_gid", depth="$s.depth")
+_LEVELS = "SELECT 'Nation:' || n_nationkey AS gid FROM nation UNION ALL SELECT 'Customer:' || c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT 'Supplier:' || s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey"
+_walk("loop", _LEVELS, lambda q: q.V().hasLabel("Region").mark("a").in_("in_region", "customer_of", "supplier_of").jump("a", None, True), gid="_gid")
+_walk("loop_counter", "SELECT 'Nation:' || n_nationkey AS gid, CAST(1 AS BIGINT) AS depth FROM nation UNION ALL SELECT 'Customer:' || c_custkey, 2 FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT 'Supplier:' || s_suppkey, 2 FROM nation JOIN supplier ON s_nationkey = n_nationkey", lambda q: q.V().hasLabel("Region").set("depth", 0).as_("s").mark("a").in_("in_region", "customer_of", "supplier_of").increment("$s.depth").jump("a", C.lt("$s.depth", 2), True), gid="_gid", depth="$s.depth")
 _walk("loop_forward", "SELECT 'Nation:' || n_nationkey AS gid FROM nation UNION ALL SELECT 'Region:' || n_regionkey FROM nation", lambda q: q.V().hasLabel("Nation").jump("skip", None, True).out("in_region").mark("skip"), gid="_gid")
-_count("loop_limit", "SELECT CAST(40 AS BIGINT) AS count", lambda q: q.V("Nation:1").mark("a").out("in_region").in_("in_region").jump("a", None, True).limit(40))
+_count("loop_limit", "SELECT CAST(40 AS BIGINT) AS count", lambda q: q.V().hasLabel("Nation").mark("a").out("in_region").in_("in_region").jump("a", None, True).limit(40))
 
 # schemaless payloads
 _walk("variant_compare", "SELECT 'Event:' || event_id AS gid FROM events WHERE CAST(props->>'$.k' AS DOUBLE) >= 50", lambda q: q.V().has(C.gte("k", 50)), load_props, gid="_gid")
@@ -204,12 +206,12 @@ _agg("variant_term", "SELECT 'k' AS name, props->>'$.k' AS key, CAST(count(*) AS
 _count("variant_distinct", "SELECT count(DISTINCT props->>'$.k') AS count FROM events", lambda q: q.V().distinct("k"), load_props)
 
 # writes
-_CUSTOMERS = "SELECT 'Customer:' || c_custkey AS gid, CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE c_name END AS name FROM customer"
+_CUSTOMERS = "SELECT 'Customer:' || c_custkey AS gid, CASE WHEN c_acctbal < 0 THEN 'changed' ELSE c_name END AS name FROM customer"
 
 
 @_register("upsert", _CUSTOMERS + " UNION ALL SELECT 'Customer:new', 'added'")
 def _upsert(g: PropertyGraph) -> DataFrame:
-    c = g.query().V().hasLabel("Customer").table(gid="_gid", key="c_custkey").where("key % 10 = 0").select("gid")
+    c = g.query().V().hasLabel("Customer").has(C.lt("c_acctbal", 0)).table(gid="_gid")
     new = c.select("gid", F.lit('{"c_name": "old"}').alias("data"), F.lit(1).alias("seq")).unionByName(c.select("gid", F.lit('{"c_name": "changed"}').alias("data"), F.lit(2).alias("seq")))
     new = new.unionByName(g.spark.range(1).select(F.lit("Customer:new").alias("gid"), F.lit('{"c_name": "added"}').alias("data"), F.lit(1).alias("seq")))
     out = writes.upsert(g, new.withColumn("label", F.lit("Customer")), order="seq")
@@ -221,6 +223,29 @@ def _delete(g: PropertyGraph) -> DataFrame:
     return writes.deleteVertex(g, "Customer:1", "Customer:2").query().E().hasLabel("placed").table(source="_from")
 
 
+@_register("delete_edge", "SELECT 'Order:' || o_orderkey AS target FROM orders WHERE NOT (o_orderkey IN (SELECT min(o_orderkey) FROM orders))")
+def _delete_edge(g: PropertyGraph) -> DataFrame:
+    first = g.query().V().hasLabel("Order").table(key="o_orderkey").agg(F.min("key").alias("m")).first()["m"]
+    gid = g.query().V(f"Order:{first}").inE("placed").collect()[0]["gid"]
+    return writes.deleteEdge(g, gid).query().E().hasLabel("placed").table(target="_to")
+
+
+@_register("upsert_edge", "SELECT 'Customer:' || o_custkey AS source, 'Order:' || o_orderkey AS target FROM orders UNION ALL SELECT 'Customer:1', 'Region:1'")
+def _upsert_edge(g: PropertyGraph) -> DataFrame:
+    """A new edge, written twice, and all that were there before written again."""
+    old = g.query().E().hasLabel("placed").table(gid="_gid", label="_label", **{"from": "_from", "to": "_to"})
+    new = g.spark.createDataFrame([("e:1", "placed", "Customer:1", "Region:0", 1), ("e:1", "placed", "Customer:1", "Region:1", 2)], "gid string, label string, `from` string, `to` string, seq int")
+    rows = new.unionByName(old.withColumn("seq", F.lit(1))).withColumn("data", F.lit("{}"))
+    return writes.upsert(g, None, rows, order="seq").query().E().hasLabel("placed").table(source="_from", target="_to")
+
+
+# one element by its id
+@_register("get_vertex", "SELECT 'Nation:3' AS gid, 'Nation' AS label, n_name AS name FROM nation WHERE n_nationkey = 3")
+def _get_vertex(g: PropertyGraph) -> DataFrame:
+    v = g.getVertex("Nation:3")
+    return g.spark.createDataFrame([(v["gid"], v["label"], v["data"]["n_name"])], "gid string, label string, name string")
+
+
 # metadata
 _register("labels", "SELECT 'Region' AS label UNION ALL " + " UNION ALL ".join(f"SELECT '{v.label}'" for v in MAPPING.vertices if v.label != "Region"))(lambda g: g.vertices.select("label").distinct())
 _register("schema", "SELECT * FROM (VALUES ('Region', 'r_regionkey', 'NUMERIC'), ('Region', 'r_name', 'STRING'), ('Part', 'p_partkey', 'NUMERIC'), ('Part', 'p_name', 'STRING'), ('Part', 'p_brand', 'STRING'), ('Part', 'p_type', 'STRING'), ('Part', 'p_size', 'NUMERIC'), ('Part', 'p_retailprice', 'NUMERIC'), ('Part', 'p_words', '[STRING]')) v(label, field, type)")(lambda g: schema.vertex_schema(g).where(F.col("label").isin("Region", "Part")))
