@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -140,18 +141,21 @@ def _find(b: pa.RecordBatch, cutter) -> pa.RecordBatch:
 
 
 def _contents(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Digest and bytes, line by line, of the different candidates of a batch."""
+    """Digest and bytes, line by line, of the different candidates of a batch.
+
+    The bytes are deflated, which keeps equal ones equal and different ones different.
+    """
     buf, offs = K.raw(b.column("text").cast(pa.string()))
     _, s, e, _ = hashed_lines(buf, offs)
     lists = b.column("cand")
     parent = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
     flat = lists.flatten()
-    at, digest = flat.field("at").to_numpy(), flat.field("digest").to_numpy()
+    at, digest = flat.field("at").to_numpy() >> 1, flat.field("digest").to_numpy()
     first = np.searchsorted(s, offs[parent] + (at >> 32))
-    last = np.searchsorted(s, offs[parent] + (at & 0xFFFFFFFF))
+    last = np.searchsorted(s, offs[parent] + (at & 0x7FFFFFFF))
     raw, s, e = memoryview(buf), s.tolist(), e.tolist()
     seen = {(d, b"\n".join(raw[s[i] : e[i]] for i in range(x, y))) for d, x, y in zip(digest.tolist(), first.tolist(), last.tolist())}
-    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in seen], pa.int64()), pa.array([x for _, x in seen], pa.binary())], ["digest", "bytes"])
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in seen], pa.int64()), pa.array([zlib.compress(x, 1, -15) for _, x in seen], pa.binary())], ["digest", "bytes"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
@@ -191,21 +195,24 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str, every: bool, r
     names, mark = docs.columns, uuid.uuid4().hex
     k, i, cand, new = (x + mark for x in ("k", "i", "cand", "new"))
     cutter = windows if every else chunks
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    # a hash of the text tells rows of the same id apart; without an id it must do so alone
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(text_col).bitwiseAND(0xFFFFFFFF))
     asked = docs.where(F.length(text_col) > MIN_BYTES // 4).select(F.col(id_col).cast("long").alias("id"), key.alias("k"), F.col(text_col).cast("string").alias("text"))
     found = map_arrow(asked, lambda b: _find(b, cutter), "digest long, salt long, more boolean, id long, k long, at long")
     order = Window.partitionBy("digest", "salt").orderBy("id", "k", "at")
     later = (F.col("salt") != 0) | (F.rank().over(order) > 1)
     times = found.select("digest", "id", "k", "at", "more", later.alias("later"), F.lead("k").over(order).isNotNull().alias("next")).where("later or next or more")
-    wanted = times.groupBy("id", "k").agg(F.collect_set(F.struct("at", "later", "digest")).alias(cand)).withColumnsRenamed({"id": i, "k": "w" + mark})
+    # the lowest bit of at says whether the candidate comes later
+    times = times.select("id", "k", (F.col("at") * 2 + F.col("later").cast("long")).alias("at"), "digest").repartition("id", "k")
+    wanted = times.groupBy("id", "k").agg(F.collect_set(F.struct("at", "digest")).alias(cand)).withColumnsRenamed({"id": i, "k": "w" + mark})
 
     # both joins read the same shuffled rows
     src = docs.withColumn(k, key)
     meet = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(k) == F.col("w" + mark))
-    held = src.join(wanted, meet).select(F.col(text_col).alias("text"), F.col(cand).alias("cand"))
-    shown = map_arrow(held, _contents, "digest long, bytes binary").distinct()
+    held = src.join(wanted, meet, "left").select(F.when(F.col(cand).isNotNull(), F.col(text_col)).alias("text"), F.col(cand).alias("cand"))
+    shown = map_arrow(held, _contents, "digest long, bytes binary").groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
     # digests that stand for different bytes; hardly ever any, and then a handful
-    mixed = shown.groupBy("digest").count().where("count > 1").agg(F.collect_list("digest").alias("mixed" + mark))
+    mixed = shown.where("least <> most").agg(F.collect_list("digest").alias("mixed" + mark))
 
     raw = F.encode(F.col(text_col).cast("string"), "UTF-8")
     end = F.octet_length(text_col).cast("long")
@@ -215,12 +222,12 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str, every: bool, r
         more = F.when(r["lo"] > acc["at"], F.concat(acc["keep"], F.array(F.struct(acc["at"].alias("lo"), r["lo"].alias("hi"))))).otherwise(acc["keep"])
         return F.struct(F.greatest(acc["at"], r["hi"]).alias("at"), more.alias("keep"))
 
-    gone = F.filter(cand, lambda x: x["later"] & ~F.array_contains("mixed" + mark, x["digest"]))
-    gone = F.array_sort(F.transform(gone, lambda x: F.struct(F.shiftright(x["at"], 32).alias("lo"), x["at"].bitwiseAND(0xFFFFFFFF).alias("hi"))))
+    gone = F.filter(cand, lambda x: (x["at"].bitwiseAND(1) == 1) & ~F.array_contains("mixed" + mark, x["digest"]))
+    gone = F.array_sort(F.transform(gone, lambda x: F.struct(F.shiftright(x["at"], 33).alias("lo"), F.shiftright(x["at"], 1).bitwiseAND(0x7FFFFFFF).alias("hi"))))
     tail = F.array(F.struct(end.alias("lo"), end.alias("hi")))
     kept = F.aggregate(F.concat(gone, tail), start, step)["keep"]
     joined = F.concat(F.lit("").cast("binary"), F.array_join(F.transform(kept, lambda x: F.decode(F.substring(raw, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), "UTF-8")), "").cast("binary"))
-    text = F.when(F.exists(cand, lambda x: x["later"]), F.when(F.size(gone) > 0, F.ltrim(F.decode(joined, "UTF-8"))))
+    text = F.when(F.exists(cand, lambda x: x["at"].bitwiseAND(1) == 1), F.when(F.size(gone) > 0, F.ltrim(F.decode(joined, "UTF-8"))))
     out = src.join(wanted, meet, "left").join(F.broadcast(mixed)).withColumn(new, F.coalesce(text, F.col(text_col).cast("string")))
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) - F.coalesce(F.octet_length(new), F.lit(0))).cast("long")
     return out.select(*[F.col(new).alias(c) if c == text_col else F.col(c) for c in names], size.alias(removed))
