@@ -195,20 +195,20 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str, every: bool, r
     names, mark = docs.columns, uuid.uuid4().hex
     k, i, cand, new = (x + mark for x in ("k", "i", "cand", "new"))
     cutter = windows if every else chunks
-    # a hash of the text tells rows of the same id apart; without an id it must do so alone
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(text_col).bitwiseAND(0xFFFFFFFF))
+    # a hash of the text tells rows of the same id apart; without an id, when it is negative, it must do so alone
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col).bitwiseOR(F.lit(-1 << 63))).otherwise(F.xxhash64(text_col).bitwiseAND(0xFFFFFFFF))
     asked = docs.where(F.length(text_col) > MIN_BYTES // 4).select(F.col(id_col).cast("long").alias("id"), key.alias("k"), F.col(text_col).cast("string").alias("text"))
     found = map_arrow(asked, lambda b: _find(b, cutter), "digest long, salt long, more boolean, id long, k long, at long")
     order = Window.partitionBy("digest", "salt").orderBy("id", "k", "at")
     later = (F.col("salt") != 0) | (F.rank().over(order) > 1)
     times = found.select("digest", "id", "k", "at", "more", later.alias("later"), F.lead("k").over(order).isNotNull().alias("next")).where("later or next or more")
     # the lowest bit of at says whether the candidate comes later
-    times = times.select("id", "k", (F.col("at") * 2 + F.col("later").cast("long")).alias("at"), "digest").repartition("id", "k")
+    times = times.select(F.coalesce("id", F.lit(0)).alias("id"), "k", (F.col("at") * 2 + F.col("later").cast("long")).alias("at"), "digest").repartition("id", "k")
     wanted = times.groupBy("id", "k").agg(F.collect_set(F.struct("at", "digest")).alias(cand)).withColumnsRenamed({"id": i, "k": "w" + mark})
 
-    # both joins read the same shuffled rows
+    # both joins read the same shuffled rows; plain keys, so that wanted stays as it is partitioned
     src = docs.withColumn(k, key)
-    meet = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(k) == F.col("w" + mark))
+    meet = (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.col(i)) & (F.col(k) == F.col("w" + mark))
     held = src.join(wanted, meet, "left").select(F.when(F.col(cand).isNotNull(), F.col(text_col)).alias("text"), F.col(cand).alias("cand"))
     shown = map_arrow(held, _contents, "digest long, bytes binary").groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
     # digests that stand for different bytes; hardly ever any, and then a handful
