@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,17 @@ def test_forest_finds_every_pair():
     assert got == want and want
 
 
+def test_large_shards_take_little_time():
+    """40 million pairs, which share 13 bits as those of a shard do: 0.08 CPU seconds when written, 11 with trees of all levels."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64) & ~np.uint64((1 << 13) - 1)
+    h[1::2000] = h[::2000] ^ np.uint64(255 << 20)
+    began = time.process_time()
+    got = [p for a, b in S.Forest(np.arange(40_000) // 2000, h).pairs(8) for p in zip(a.tolist(), b.tolist())]
+    assert time.process_time() - began < 2
+    assert len(got) == len(set(got)) and {(i, i + 1) for i in range(0, 40_000, 2000)} <= set(got)
+
+
 def test_groups_match_brute_force(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(900)]

@@ -74,15 +74,28 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one, two, sizes
 
 
+def block_masks(blocks: int) -> list[np.uint64]:
+    """Bit masks of so many blocks of the 64 bits."""
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    return [_U(((1 << (b - a)) - 1) << a) for a, b in zip(cuts, cuts[1:])]
+
+
 def masks_of(radius: int, blocks: int) -> np.ndarray:
     """Bit masks of every choice of blocks - radius among blocks of the 64 bits.
 
     Hashes within the radius differ in at most radius blocks, so they agree on
     one of these masks at least.
     """
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    ones = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    return np.array([sum(c) for c in combinations(ones, blocks - radius)], dtype=_U)
+    return np.array([sum(map(int, c)) for c in combinations(block_masks(blocks), blocks - radius)], dtype=_U)
+
+
+def first_masks(radius: int, blocks: int) -> np.ndarray:
+    """For each set of blocks that differ, as a number, the first of masks_of that has none of them; -1 if none."""
+    sets = np.arange(1 << blocks)
+    out = np.full(len(sets), -1)
+    for i, c in reversed(list(enumerate(combinations(range(blocks), blocks - radius)))):
+        out[sets & sum(1 << k for k in c) == 0] = i
+    return out
 
 
 def blocks_for(count: int, radius: int) -> int:
@@ -98,60 +111,61 @@ def blocks_for(count: int, radius: int) -> int:
 
 
 class Forest:
-    """BK-trees of many shards, built and searched level by level.
+    """BK-trees of many shards, each a root and the leaves under it.
 
-    A child hangs under its parent at the Hamming distance between the two, so
-    all of one node's children have different distances.
+    A leaf holds the hashes that are at one Hamming distance, its edge, from the
+    root.  Leaves are scanned flat: with a radius of 8 of 64 bits each further
+    level would rule out next to nothing, and following its edges costs a
+    hundred times what comparing two hashes does.
     """
 
     def __init__(self, shard: np.ndarray, hashes: np.ndarray):
-        """shard: sorted; the hashes of a shard are distinct."""
-        self.h = hashes
+        """shard: sorted."""
         n = len(hashes)
         first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if n else np.zeros(0, np.int64)
         size = np.diff(np.append(first, n))
-        self.root = np.repeat(first, size)
-        self.size = np.repeat(size, size)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        rest = np.setdiff1d(np.arange(n), first, assume_unique=True)
-        parent = self.root[rest]
-        while len(rest):
-            edge = parent * 65 + np.bitwise_count(hashes[rest] ^ hashes[parent])
-            order = np.argsort(edge, kind="stable")
-            rest, edge = rest[order], edge[order]
-            new = np.concatenate(([True], edge[1:] != edge[:-1]))
-            self.levels.append((edge[new], rest[new]))
-            parent = rest[new][np.cumsum(new) - 1][~new]
-            rest = rest[~new]
-
-    def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, other) of positions within the radius in their shard, query < other."""
-        q, node, found = query, self.root[query], []
-        for depth in range(len(self.levels) + 1):
-            d = np.bitwise_count(self.h[q] ^ self.h[node]).astype(np.int64)
-            hit = (d <= radius) & (q < node)
-            found.append((q[hit], node[hit]))
-            if depth == len(self.levels) or not len(q):
-                break
-            edge, child = self.levels[depth]
-            lo = np.searchsorted(edge, node * 65 + np.maximum(d - radius, 1), side="left")
-            hi = np.searchsorted(edge, node * 65 + np.minimum(d + radius, 64), side="right")
-            count = hi - lo
-            total = int(count.sum())
-            at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(total)
-            q, node = np.repeat(q, count), child[at]
-        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-
-    def pairs(self, radius: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Every pair within the radius, for as many queries at a time as keep memory small."""
-        want = np.flatnonzero(self.size > 1)
-        done = np.cumsum(self.size[want])
-        lo = 0
-        while lo < len(want):
-            base = done[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(done, base + most, side="right")))
-            yield self.within(want[lo:hi], radius)
-            lo = hi
+        edge = np.bitwise_count(hashes ^ hashes[np.repeat(first, size)])
+        # large trees come first, so that trees that are scanned together are alike in size
+        place = np.empty(len(first), np.int64)
+        place[np.argsort(-size, kind="stable")] = np.arange(len(first))
+        leaf = np.repeat(place, size) * 256 + edge
+        self.order = np.argsort(leaf, kind="stable")
+        self.leaf, self.h = leaf[self.order], hashes[self.order]
+
+    def pairs(self, radius: int, most: int = 1 << 15, found: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every pair (position, later position) within the radius in its shard.
+
+        Each hash is compared with those behind it, up to the leaf at its edge +
+        radius: with the next one, the second next and so on, for ``most``
+        hashes at a time.  About ``found`` pairs are held.
+        """
+        n = len(self.h)
+        reach = np.searchsorted(self.leaf, self.leaf + radius, side="right") - 1 - np.arange(n)
+        diff, bits = np.empty(most, _U), np.empty(most, np.uint8)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        weight = 0
+
+        def out() -> tuple[np.ndarray, np.ndarray]:
+            a, b = (self.order[np.concatenate(x)] for x in zip(*held))
+            return np.minimum(a, b), np.maximum(a, b)
+
+        for lo in range(0, n, most):
+            own = reach[lo : lo + most]
+            # how many hashes, from lo on, still have something at each step
+            far = np.maximum.accumulate(own[::-1])[::-1]
+            for step, m in enumerate(np.searchsorted(-far, -np.arange(1, far[0] + 1), side="right").tolist(), 1):
+                np.bitwise_xor(self.h[lo : lo + m], self.h[lo + step : lo + step + m], out=diff[:m])
+                np.bitwise_count(diff[:m], out=bits[:m])
+                hit = np.flatnonzero(bits[:m] <= radius)
+                if len(hit):
+                    hit = hit[own[hit] >= step] + lo
+                    held.append((hit, hit + step))
+                    weight += len(hit)
+                    if weight >= found:
+                        yield out()
+                        held, weight = [], 0
+        if weight:
+            yield out()
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,60 +197,43 @@ def node_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return K.mix(one + K.mix(two + K.salt(3))).view(np.int64)
 
 
-def _members(a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For pairs of nodes the pairs of their members; a node's members follow one another, node i has size[i] of them."""
-    first = np.cumsum(size) - size
-    done = np.cumsum(size[a] * size[b])
-    lo = 0
-    while lo < len(a):
-        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + most, side="right")))
-        x, y = a[lo:hi], b[lo:hi]
-        n = size[x] * size[y]
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        wide = np.repeat(size[y], n)
-        yield np.repeat(first[x], n) + nth // wide, np.repeat(first[y], n) + nth % wide
-        lo = hi
+def _links(radius: int, blocks: int, wide: int):
+    """Of a partition of shards: edges (a, b) that connect its groups, and rows (a, null, links) that add up to each fingerprint's links.
 
-
-def _links(masks: np.ndarray, radius: int, wide: int):
-    """Of a partition of shards: edges (a, b) that connect its groups, and rows (a, null, links) that add up to each fingerprint's links."""
+    A link belongs to one shard, that of the first half that is near and of the
+    first mask that agrees; the others that find it pass it over.
+    """
+    ones, firsts = block_masks(blocks), first_masks(radius, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = gather(batches)
         if t is None:
             return
         shard, x, y = t["shard"].to_numpy(), t["x"].to_numpy().view(_U), t["y"].to_numpy().view(_U)
-        order = np.lexsort((x, shard))
+        order = np.argsort(shard)
         shard, x, y = shard[order], x[order], y[order]
-        tail = shard & ((1 << _TAIL) - 1)
-        second = (tail & 1).astype(bool)
+        mask = (shard & ((1 << _TAIL) - 1)) >> 1
+        second = (shard & 1).astype(bool)
         name = node_of(np.where(second, y, x), np.where(second, x, y))
-        # members with the same half are one node of the tree
-        new = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (x[1:] != x[:-1]))))
-        size = np.diff(np.append(new, len(x)))
         counts = np.zeros(len(x), np.int64)
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         weight = 0
-
-        def nodes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            several = np.flatnonzero(size > 1)
-            yield several, several
-            yield from Forest(shard[new], x[new]).pairs(radius)
-
-        for p, q in nodes():
-            for i, j in _members(p, q, size):
-                ok = (i < j) & (np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= wide)
-                i, j = i[ok], j[ok]
-                held.append((name[i], name[j]))
-                weight += len(i)
-                # a link counts where it is found first: in the first half that is near, and in the first mask that agrees
-                first = np.argmax(((x[i] ^ x[j])[:, None] & masks[None, :]) == 0, axis=1) if len(i) else np.zeros(0, np.int64)
-                ok = (first == tail[i] >> 1) & ~(second[i] & (np.bitwise_count(y[i] ^ y[j]) <= radius))
-                counts += np.bincount(i[ok], minlength=len(x)) + np.bincount(j[ok], minlength=len(x))
-                if weight > 1 << 20:
-                    a, b = spanning(np.concatenate([a, *(u for u, _ in held)]), np.concatenate([b, *(v for _, v in held)]))
-                    held, weight = [], 0
+        for i, j in Forest(shard, x).pairs(radius):
+            near, other = x[i] ^ x[j], np.bitwise_count(y[i] ^ y[j])
+            ok = (np.bitwise_count(near) + other <= wide) & ~(second[i] & (other <= radius))
+            i, j, near = i[ok], j[ok], near[ok]
+            differ = np.zeros(len(i), np.int64)
+            for k, one in enumerate(ones):
+                differ |= ((near & one) != 0).astype(np.int64) << k
+            ok = firsts[differ] == mask[i]
+            i, j = i[ok], j[ok]
+            counts += np.bincount(i, minlength=len(x)) + np.bincount(j, minlength=len(x))
+            held.append((name[i], name[j]))
+            weight += len(i)
+            if weight > 1 << 20:
+                a, b = spanning(np.concatenate([a, *(u for u, _ in held)]), np.concatenate([b, *(v for _, v in held)]))
+                held, weight = [], 0
         a, b = spanning(np.concatenate([a, *(u for u, _ in held)]), np.concatenate([b, *(v for _, v in held)]))
         some = np.flatnonzero(counts)
         if len(a) or len(some):
@@ -263,8 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bit blocks; halves within the radius share a shard by the pigeonhole
     principle, so the search is exact.  The number of blocks follows the
     number of fingerprints, which changes the size of shards and nothing else.
-    A shard's halves form a BK-tree, and each of them is searched for in it,
-    following the edges from d - radius to d + radius.  The trees stay where
+    A shard's halves form a BK-tree, and each of them is compared with the
+    leaves whose edges are within the radius of its own.  The trees stay where
     their shard is (a broadcast of all trees would grow with the corpus).
     Equal fingerprints are joined before, and a shard passes on only edges
     that connect its groups and sums of links, so large groups cost no more
@@ -303,7 +300,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, wide: int
     real = fps.where("doc_id is not null and node is not null")
     distinct = cut(real.groupBy("one", "two", "node").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     count = distinct.count()
-    masks = masks_of(radius, blocks or blocks_for(count, radius))
+    blocks = blocks or blocks_for(count, radius)
+    masks = masks_of(radius, blocks)
 
     def shards(b: pa.RecordBatch) -> pa.RecordBatch:
         halves = [b.column(c).to_numpy().view(_U) for c in ("one", "two")]
@@ -318,7 +316,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, wide: int
 
     keyed = map_arrow(distinct.select("one", "two"), shards, "shard long, x long, y long")
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-count * len(masks) * 2 // TASK_ROWS))
-    found = cut(keyed.repartition(tasks, "shard").mapInArrow(_links(masks, radius, wide), "a long, b long, links long"), "simhash-links")
+    found = cut(keyed.repartition(tasks, "shard").mapInArrow(_links(radius, blocks, wide), "a long, b long, links long"), "simhash-links")
     roots = components(found.where("b is not null").select("a", "b"), "simhash-edges")
     times = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     rep = distinct.join(roots, distinct.node == roots.node, "left").select(distinct.node, "first", F.coalesce("root", distinct.node).alias("root"))
