@@ -83,6 +83,56 @@ def test_a_text_in_pieces_has_the_same_ngrams(monkeypatch):
     assert found() == whole
 
 
+def shuffled(spark):
+    """Rows that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_ngrams_travel_in_few_rows(spark, sf):
+    """A row for each block and part, not for each n-gram, which took too long on large tables."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    before = shuffled(spark)
+    got = N.score(d, broadcast_bytes=0).collect()
+    rows = sum(n for k, n in shuffled(spark).items() if k not in before)
+    assert len(got) == d.count() and 0 < rows < 3 * len(got) < sum(r.tokens for r in got) / 10
+
+
+def test_lumps_and_pieces_get_the_same_scores(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["one two", " ".join(f"w{x}" for x in rng.zipf(1.3, 6000) % 900), "", " \n", "one two", "x" * 3000 + " y"] + [" ".join(f"w{x}" for x in rng.zipf(1.3, 50) % 900) for _ in range(40)]
+    total = sum(len(t.split()) for t in texts)
+
+    def scored():
+        blocks = [pa.table({"doc_id": list(range(a, len(texts), 2)), "text": texts[a::2], "h": [hash(t) for t in texts[a::2]], "block": [a] * len(texts[a::2])}) for a in (0, 1)]
+        asked = pa.concat_tables([N._ask(8)(b) for b in blocks])
+        answers = pa.Table.from_batches(N._answer(8)(iter(asked.to_batches())))
+        names = ["doc_id", "tokens", "log_prob", "perplexity"]
+        rows = pa.concat_tables([N._finish(total, names)(b, answers.filter(pa.array(answers["block"].to_numpy() == a))) for a, b in enumerate(blocks)])
+        return asked.num_rows, sorted((r["doc_id"], r["tokens"], r["log_prob"]) for r in rows.to_pylist())
+
+    few, whole = scored()
+    want = brute(list(enumerate(texts)))
+    assert [x[1] for x in whole] == [n for n, _ in want]
+    assert all(abs(x[2] - lp) <= 0.06 * n + 1 for x, (n, lp) in zip(whole, want))
+    monkeypatch.setattr(K, "SLICE_BYTES", 100)
+    monkeypatch.setattr(N, "LUMP_TOKENS", 700)
+    many, cut = scored()
+    assert many > few and [x[:2] for x in cut] == [x[:2] for x in whole]
+    assert [x[2] for x in cut] == pytest.approx([x[2] for x in whole])
+
+
+def test_sorting_is_exact():
+    rng = np.random.default_rng(9)
+    for top, n in ((12, 5000), (40, 30_000), (63, 30_000), (63, 0), (63, 1)):
+        x = rng.integers(0, 1 << top, n, dtype=np.uint64)
+        at, out = N.sorting(x)
+        assert (out == np.sort(x)).all() and (x[at] == out).all() and (np.sort(at) == np.arange(n)).all()
+
+
 def test_a_text_that_occurs_twice_stands_out(spark):
     rng = np.random.default_rng(6)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 200) % 5000) for _ in range(120)]
