@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import PlanError
 from ..functions.conditions import number
 from ..functions.paths import Value
+from .loops import cut
+
+#: Exact percentiles look for a value this share of all values below and above it, twice what approximate ones of this accuracy err.
+NEAR, ACCURACY = 2e-3, 1000
 
 
 def group_key(v: Value) -> Column:
@@ -54,10 +58,40 @@ def _keys(v: Value) -> Column:
     return F.lit(None).cast("array<string>")
 
 
-def aggregate(df: DataFrame, aggs: list[dict], lookup: Callable[[str], Value]) -> DataFrame:
+def _percentiles(values: DataFrame, shares: list[float]) -> DataFrame:
+    """One row with the array q, the exact percentiles of column x; no row if there are no values.
+
+    Approximate percentiles a little below and above each one part the values.
+    The parts are counted, and only of those that hold a wanted rank the values
+    are counted one by one and ranked, so no task gets all values.  The bounds
+    decide how much is ranked, not what comes out.
+    """
+    near = sorted({min(max(s + d, 0.0), 1.0) for s in shares for d in (-NEAR, NEAR)})
+    bounds = values.agg(F.percentile_approx("x", F.array(*[F.lit(s) for s in near]), ACCURACY).alias("bounds"))
+    above = [F.coalesce(F.col("x") > F.col("bounds")[i], F.lit(False)).cast("int") for i in range(len(near))]
+    placed = values.crossJoin(F.broadcast(bounds)).select(reduce(Column.__add__, above).alias("part"), "x")
+
+    at = [(F.col("total") - 1) * F.lit(s) for s in shares]
+    size = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + p["n"])
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"))
+    starts = sizes.select("parts", size(F.col("parts")).alias("total"), F.posexplode("parts").alias("i", "p")).select("p.*", "total", size(F.slice("parts", 1, F.col("i"))).alias("start"))
+    holds = reduce(Column.__or__, [(F.col("start") <= r) & (r < F.col("start") + F.col("n")) for x in at for r in (F.floor(x), F.ceil(x))])
+    few = placed.join(F.broadcast(starts.where(holds).select("part", "start", "total")), "part").groupBy("part", "start", "total", "x").agg(F.count("*").alias("n"))
+
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = few.select("x", "n", "total", (F.col("start") + upto).alias("stop"))
+    one = lambda r: F.max(F.when((r < F.col("stop")) & (r >= F.col("stop") - F.col("n")), F.col("x")))
+    found = ranked.agg(F.max("total").alias("total"), *[one(f(x)).alias(f"{w}{i}") for i, x in enumerate(at) for w, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise((F.ceil(x) - x) * F.col(f"lo{i}") + (x - F.floor(x)) * F.col(f"hi{i}")) for i, x in enumerate(at)]
+    return found.where("total is not null").select(F.array(*between).alias("q"))
+
+
+def aggregate(df: DataFrame, aggs: list[dict], lookup: Callable[[str], Value], steady: bool = True) -> DataFrame:
     """All aggregations in one pass: a traveler becomes one small row for each, and these are grouped once.
 
-    Percentiles alone are aggregated on their own, exactly by default.
+    Percentiles alone are aggregated on their own, exactly by default.  That reads
+    df more than once; steady: whether it then has the same travelers each time,
+    else their values are written to the shared folder first.
     """
     items: list[Column] = []
     hist: dict[str, float] = {}
@@ -92,9 +126,14 @@ def aggregate(df: DataFrame, aggs: list[dict], lookup: Callable[[str], Value]) -
             parts.append(df.agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("name"), F.lit("count").alias("key"), "value"))
         elif kind == "percentile":
             ps = [float(p) for p in body.get("percents") or (1, 5, 25, 50, 75, 95, 99)]
-            share = F.array(*[F.lit(p / 100) for p in ps])
-            x = number(v)
-            got = df.agg((F.percentile_approx(x, share, 10_000) if body.get("approximate") else F.percentile(x, share)).alias("q"))
+            if not all(0 <= p <= 100 for p in ps):
+                raise PlanError("percentiles go from 0 to 100")
+            shares = [p / 100 for p in ps]
+            if body.get("approximate"):
+                got = df.agg(F.percentile_approx(number(v), F.array(*[F.lit(s) for s in shares]), 10_000).alias("q"))
+            else:
+                values = df.select(number(v).alias("x")).where("x is not null")
+                got = _percentiles(values if steady else cut(values, "values"), shares)
             pairs = F.arrays_zip(F.array(*[F.lit(_number_text(p)) for p in ps]).alias("key"), F.col("q"))
             rows = got.where("q is not null").select(F.explode(pairs).alias("p"))
             parts.append(rows.select(F.lit(name).alias("name"), F.col("p.key").alias("key"), F.col("p.q").cast("double").alias("value")))
@@ -107,8 +146,6 @@ def aggregate(df: DataFrame, aggs: list[dict], lookup: Callable[[str], Value]) -
         if plain and len(plain) > sum("percentile" in a or "count" in a for a in aggs):
             terms = grouped.where(~F.col("name").isin(list(hist))) if hist else grouped
             if sizes:
-                from pyspark.sql import Window
-
                 cap = F.create_map(*[x for n, s in sizes.items() for x in (F.lit(n), F.lit(s))])[F.col("name")]
                 nth = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("value"), "key"))
                 terms = terms.withColumn("nth", nth).where(cap.isNull() | (F.col("nth") <= cap))

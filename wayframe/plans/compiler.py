@@ -285,7 +285,9 @@ def one(ctx: Context, f: Frame, i: int) -> Frame:
     if name == "increment":
         return _assign(f, v["key"], lambda old, kind: (F.coalesce(conditions.number(old).cast("long"), F.lit(0)) + v["value"]).cast(kind), False)
     if name == "aggregate":
-        return Frame(aggregates.aggregate(df, v["aggregations"], f.value), "aggregation")
+        # these may keep other travelers in each run
+        steady = not any(n in ("limit", "skip", "range", "distinct", "custom") for n, _ in ctx.steps[:i])
+        return Frame(aggregates.aggregate(df, v["aggregations"], f.value, steady), "aggregation")
     if name == "custom":
         return replace(f, df=df.transform(v), may=None)
     if name == "mark":
