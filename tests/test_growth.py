@@ -9,6 +9,7 @@ from wayframe.errors import PlanError
 from wayframe.graph import PropertyGraph
 from wayframe.operators import aggregates
 from wayframe.plans.steps import percentile
+from wayframe.schema import vertex_schema
 
 _EDGES = "gid string, label string, `from` string, `to` string, data struct<w: int>"
 
@@ -71,3 +72,24 @@ def test_percentiles_of_travelers_that_vary_are_of_one_run(spark):
     for t in (g.query().V().limit(100), g.query().V().custom(vary)):
         got = t.aggregate(percentile("p", "x", [0, 50, 100])).to_df().collect()
         assert len(got) == 3 and all(r["value"] is not None for r in got)
+
+
+@pytest.mark.parametrize("typed", [True, False])
+def test_no_task_sorts_all_fields_for_a_schema(spark, typed):
+    fields = {"n": F.col("id"), "s": F.lit("text"), "b": F.lit(True), "xs": F.array("id"), "o": F.struct(F.col("id").alias("i"))}
+    data = F.struct(*[c.alias(n) for n, c in fields.items()])
+    v = spark.range(0, 600_000, 1, 1).select(F.col("id").cast("string").alias("gid"), F.lit("N").alias("label"), (data if typed else F.to_variant_object(data)).alias("data"))
+    e = v.where("false").select("gid", "label", F.col("gid").alias("from"), F.col("gid").alias("to"), "data")
+    got = []
+    _, memory = tasks(spark, lambda: got.extend(vertex_schema(PropertyGraph(v, e)).collect()))
+    assert sorted(map(tuple, got)) == [("N", "b", "BOOL"), ("N", "n", "NUMERIC"), ("N", "o", "OBJECT"), ("N", "o.i", "NUMERIC"), ("N", "s", "STRING"), ("N", "xs", "[NUMERIC]")]
+    assert memory < 100
+
+
+def test_schema_of_odd_fields(spark):
+    v = spark.createDataFrame([("a", "L", ((1,), "x", None, None)), ("b", "M", (None, "y", None, None)), ("c", "N", (None, None, None, [])), (None, None, ((None,), None, None, None))], "gid string, label string, data struct<a: struct<b: int>, `a.b`: string, no: int, xs: array<array<int>>>")
+    got = vertex_schema(PropertyGraph(v, spark.createDataFrame([], "gid string, label string, `from` string, `to` string, data struct<no: int>")))
+    assert sorted(map(str, map(tuple, got.collect()))) == ["('L', 'a', 'OBJECT')", "('L', 'a.b', 'NUMERIC')", "('M', 'a.b', 'STRING')", "('N', 'xs', '[[NUMERIC]]')", "(None, 'a', 'OBJECT')"]
+    w = spark.createDataFrame([("a", '{"k": null, "m": null, "e": [], "t": ["x"]}'), ("b", '{"k": 1, "t": [{}], "a": {"b": {"c": {"d": 1}}}}'), ("c", '{"k": "s"}'), ("d", "7"), ("e", None)], "gid string, j string").select("gid", F.lit("L").alias("label"), F.parse_json("j").alias("data"))
+    got = vertex_schema(PropertyGraph(w, w.where("false").select("gid", "label", F.col("gid").alias("from"), F.col("gid").alias("to"), "data")))
+    assert {r.field: r.type for r in got.collect()} == {"k": "NUMERIC", "m": "UNKNOWN", "e": "[UNKNOWN]", "t": "[OBJECT]", "a": "OBJECT", "a.b": "OBJECT", "a.b.c": "OBJECT"}

@@ -12,6 +12,8 @@ if TYPE_CHECKING:
     from .graph import PropertyGraph
 
 _NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|TINYINT|SMALLINT)"
+#: What a variant's type may be, the first known ones before UNKNOWN.
+_TYPES = ["BOOL", "NUMERIC", "OBJECT", "STRING", "[BOOL]", "[NUMERIC]", "[OBJECT]", "[STRING]", "[UNKNOWN]", "UNKNOWN"]
 
 
 def _kind(v: Column) -> Column:
@@ -37,7 +39,11 @@ def _typed_kind(t: T.DataType) -> str:
 
 
 def _fields(df: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
-    """(keys, field, type): the first known type of each field path, objects up to the given depth."""
+    """(keys, field, type): the first known type of each field path, objects up to the given depth.
+
+    Rows are combined by hash as they are read: flags and numbers allow that, the
+    least of texts would sort all rows of a task first.
+    """
     kind = df.schema["data"].dataType
     if isinstance(kind, T.VariantType):
         out = None
@@ -48,21 +54,28 @@ def _fields(df: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
             got = level.select(*keys, F.col("at").alias("field"), _kind(F.col("v")).alias("type"))
             out = got if out is None else out.unionByName(got)
             level = level.where(F.schema_of_variant("v").startswith("OBJECT"))
-        flat = out
-    else:
-        def walk(t: T.StructType, col: Column, at: str):
-            for f in t.fields:
-                c = col.getField(f.name)
-                yield F.when(c.isNotNull(), F.struct(F.lit(at + f.name).alias("field"), F.lit(_typed_kind(f.dataType)).alias("type")))
-                if isinstance(f.dataType, T.StructType):
-                    yield from walk(f.dataType, c, at + f.name + ".")
-
-        entries = list(walk(kind, F.col("data"), ""))
-        if not entries:
-            return df.select(*keys, F.lit("").alias("field"), F.lit("").alias("type")).where("false")
-        flat = df.select(*keys, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("f")).select(*keys, "f.field", "f.type")
-    known = F.min(F.when(F.col("type") != "UNKNOWN", F.col("type")))
-    return flat.groupBy(*keys, "field").agg(F.coalesce(known, F.lit("UNKNOWN")).alias("type"))
+        types = F.array(*[F.lit(t) for t in _TYPES])
+        first = out.groupBy(*keys, "field").agg(F.min(F.array_position(types, F.col("type"))).alias("first"))
+        return first.select(*keys, "field", F.get(types, (F.col("first") - 1).cast("int")).alias("type"))
+
+    def walk(t: T.StructType, col: Column, at: str):
+        for f in t.fields:
+            c = col.getField(f.name)
+            yield at + f.name, _typed_kind(f.dataType), c.isNotNull()
+            if isinstance(f.dataType, T.StructType):
+                yield from walk(f.dataType, c, at + f.name + ".")
+
+    entries = list(walk(kind, F.col("data"), ""))
+    if not entries:
+        return df.select(*keys, F.lit("").alias("field"), F.lit("").alias("type")).where("false")
+    entries.sort(key=lambda x: x[:2])
+    there = df.groupBy(*keys).agg(*[F.max(held).alias(f"__f{i}") for i, (_, _, held) in enumerate(entries)])
+    # a name with a dot may be the path of another field
+    paths: dict[str, list[Column]] = {}
+    for i, (name, t, _) in enumerate(entries):
+        paths.setdefault(name, []).append(F.when(F.col(f"__f{i}"), F.struct(F.lit(name).alias("field"), F.lit(t).alias("type"))))
+    found = F.array(*[F.coalesce(*same) for same in paths.values()])
+    return there.select(*keys, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select(*keys, "f.field", "f.type")
 
 
 def _some(df: DataFrame, keys: list[str], n: int | None) -> DataFrame:
